@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..sources import sample_view
 
+# The engines round a decimal tie such as 0.0078125 in different ways; both sides are pushed
+# off the tie by an amount far above float noise and far below the last digit kept.
+NUDGE = 1e-10
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,7 +30,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     def column(field):
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            return F.round(c, digits)
+            return F.round(c + NUDGE, digits)
         if isinstance(field.dataType, T.TimestampType):
             return F.unix_micros(c)
         if isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
@@ -35,11 +39,15 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[column(f).alias(f.name) for f in df.schema.fields])
 
 
+def round_sql(x: str, digits: int = 6) -> str:
+    return f"round(cast({x} as double) + {NUDGE}, {digits})"
+
+
 def rounded(sql: str, *names: str, digits: int = 6) -> str:
     """The same rounding on the SQL side."""
     if not names:
         return sql
-    swaps = ", ".join(f"round(cast({n} as double), {digits}) as {n}" for n in names)
+    swaps = ", ".join(f"{round_sql(n, digits)} as {n}" for n in names)
     return f"select * replace ({swaps}) from (\n{sql}\n) as q"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..operators import features, inject
 from ..sources import sample_view
-from .base import clip_sql, log1p, query, rounded, tidy, tx, with_tx
+from .base import clip_sql, log1p, query, round_sql, rounded, tidy, tx, with_tx
 
 _DOUBLES = [c.name for c in schema.TRANSACTION if c.kind == "double"]
 _BOOLS = schema.boolean_columns()
@@ -54,7 +54,7 @@ FEATURE_SQL = {
 
 
 def feature_sql(names=schema.FEATURES, keep=("transaction_id",), source="tx") -> str:
-    made = ", ".join(f"round(cast({FEATURE_SQL[n]} as double), 6) as {n}" for n in names)
+    made = ", ".join(f"{round_sql(FEATURE_SQL[n])} as {n}" for n in names)
     return f"select {', '.join(keep)}, {made} from ({IMPUTED.replace('from tx', 'from ' + source)}) as im"
 
 
@@ -93,7 +93,7 @@ _WEIGHT = ("(case label_is_fraud when 1 then 2.33e0 else 1e0 end) * (case label_
 
 
 @query("sample_weights", with_tx(
-    f"select transaction_id, round(({_WEIGHT}) / (select avg({_WEIGHT}) from tx), 6) as sample_weight from tx",
+    f"select transaction_id, {round_sql(f'({_WEIGHT}) / (select avg({_WEIGHT}) from tx)')} as sample_weight from tx",
     "transaction_id", "label_is_fraud", "label_source", "label_confidence"))
 def _weights(spark, sf_dir):
     return tidy(features.sample_weights(tx(spark, sf_dir)).select("transaction_id", "sample_weight"))
@@ -111,7 +111,7 @@ def _none(spark, sf_dir):
 
 _GRAPH_SELECT = ", ".join(
     f"cast({n} as bigint) as {n}" if n.endswith(("accounts", "count")) else
-    (f"round({n}, 6) as {n}" if n != "rapid_fan_out_flag" else n) for n in schema.GRAPH_COLUMNS)
+    (f"{round_sql(n)} as {n}" if n != "rapid_fan_out_flag" else n) for n in schema.GRAPH_COLUMNS)
 
 
 @query("graph_mode_synthetic", with_tx(f"select transaction_id, {_GRAPH_SELECT} from tx",
@@ -162,8 +162,8 @@ def _mode_scores(spark, sf_dir):
 
 
 @query("inject_summary", _with_scores(
-    'select count(*) as "rows", round(avg(p), 6) as mean_injected_probability, '
-    "round(max(p), 6) as max_injected_probability from p"))
+    'select count(*) as "rows", round(avg(p) + 1e-10, 6) as mean_injected_probability, '
+    "round(max(p) + 1e-10, 6) as max_injected_probability from p"))
 def _inject_summary(spark, sf_dir):
     out = inject.inject_scores(tx(spark, sf_dir), sample_view.account_scores(spark, sf_dir), keep_probability=True)
     return tidy(inject.injection_summary(out))
@@ -172,7 +172,7 @@ def _inject_summary(spark, sf_dir):
 @query("graph_findings", with_tx(
     "select transaction_id, cast(shared_device_accounts as bigint) as shared_device_accounts, "
     "cast(beneficiary_sar_count as bigint) as beneficiary_sar_count, "
-    "round(mule_network_probability, 6) as mule_network_probability, rapid_fan_out_flag, 8::bigint as fields from tx",
+    "round(mule_network_probability + 1e-10, 6) as mule_network_probability, rapid_fan_out_flag, 8::bigint as fields from tx",
     "transaction_id", "shared_device_accounts", "beneficiary_sar_count", "mule_network_probability",
     "rapid_fan_out_flag"))
 def _findings(spark, sf_dir):
