@@ -18,6 +18,9 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_o
     repeated once per slice. Heavy keys number at most rows / rows_per_task, so the table
     that names them is small whatever the data and may be broadcast. Rows without a key match
     nothing and are spread out as well. No row is dropped.
+
+    `left` is read twice, once for the key counts: where it is the result of a long plan,
+    store it first.
     """
     keys = list(keys)
     heavy = (
@@ -39,4 +42,5 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_o
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
         .drop("_slices")
     )
-    return salted.join(repeated, keys + ["_slice"], how).drop("_slice")
+    added = [c for c in right.columns if c not in keys]
+    return salted.join(repeated, keys + ["_slice"], how).select(*left.columns, *added)

@@ -1,4 +1,4 @@
 """All registered queries; importing this package fills the registry."""
 
-from . import feature_queries, graph_queries, quality_queries  # noqa: F401
+from . import feature_queries, graph_queries, message_queries, quality_queries  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
