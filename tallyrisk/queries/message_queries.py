@@ -10,6 +10,8 @@ from ..session import materialize
 from .base import NUDGE, query, round_sql, rounded, tidy, tx
 from .graph_queries import _ACCOUNT_NAMES, _ACCOUNT_SQL, derived_sql, graph_tx, with_graph
 
+_NAMES = sorted({*_ACCOUNT_NAMES, "device_fingerprint_hash", "merchant_category_code"})
+
 FEATS = schema.ACCOUNT_FEATURES
 HIDDEN = 3
 
@@ -38,7 +40,8 @@ MODEL = {"layer1": layer(len(FEATS), 1), "layer2": layer(HIDDEN, 5),
 
 def parts(spark, sf_dir):
     """Nodes and messages, stored between the stages because later steps read them repeatedly."""
-    df = graph_tx(spark, sf_dir)
+    df = graph_tx(spark, sf_dir).select(*_NAMES, "ip_node_id", "merchant_node_id")
+    df = materialize(df, "transactions")
     nodes = materialize(graph.account_nodes(df), "nodes")
     derived = graph.shared_entity_edges(graph.device_edges(df), graph.ip_edges(df), graph.merchant_edges(df))
     ends = ["src_node_id", "dst_node_id"]
@@ -54,7 +57,6 @@ def scaled(spark, sf_dir):
 
 # ---- the same in SQL --------------------------------------------------------------------
 
-_NAMES = sorted({*_ACCOUNT_NAMES, "device_fingerprint_hash"})
 _NODES = _ACCOUNT_SQL.lstrip(", \n")
 _HEAD, _BODY = _NODES.rsplit("\nselect node_id, age", 1)
 NODE_CTE = f", {_HEAD}, nodes as (\nselect node_id, age{_BODY}\n)"

@@ -134,7 +134,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 48 columns, one row per order line."""
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # both sides grow alike: a shuffled join keeps the width of the cluster where a small
+    # single-file sample would otherwise run as one task
+    joined = lines.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(*[F.expr(text).alias(name) for name, text in columns(SparkWords).items()])
 
 
