@@ -56,24 +56,28 @@ def describe_contributions(rows: DataFrame, three_way: bool = True) -> DataFrame
     """Turn `contributions` into full items: rounded value, size, share of the total, direction,
     position in the feature order, and the raw graph field where there is one."""
     total = F.aggregate("contributions", F.lit(0.0).cast("double"), lambda acc, x: acc + F.abs(x["contribution"]))
-    rows = rows.withColumn("_total", F.when(total == 0, 1.0).otherwise(total))
+    # one-element array: its lambda variable holds the total, which is otherwise worked out
+    # again for every item once projections are merged
+    packed = F.array(F.struct(F.when(total == 0, 1.0).otherwise(total).alias("total"),
+                              F.col("contributions").alias("items")))
 
-    def item(x, i):
+    def item(x, i, sum_of_sizes):
         c = x["contribution"]
         return F.struct(
             i.alias("position"), x["feature"].alias("feature"), x["value"].alias("value"),
             half_even(c, 6).alias("contribution"), half_even(F.abs(c), 6).alias("absolute_contribution"),
-            half_even(F.abs(c) / F.col("_total") * 100, 2).alias("contribution_percentage"),
+            half_even(F.abs(c) / sum_of_sizes * 100, 2).alias("contribution_percentage"),
             _direction(c, three_way).alias("direction"),
             literal_lookup(x["feature"], schema.GRAPH_FEATURES, None).alias("raw_gnn_field"))
 
-    return rows.withColumn("contributions", F.transform("contributions", item)).drop("_total")
+    described = F.transform(packed, lambda y: F.transform(y["items"], lambda x, i: item(x, i, y["total"])))
+    return rows.withColumn("contributions", described[0])
 
 
 def _ranked(items: Column, size: str, sign: int) -> Column:
     """Largest `sign * size` first; equal sizes keep the feature order."""
     keyed = F.transform(items, lambda x: F.struct((-sign * x[size]).alias("k"), x["position"].alias("p"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda y: y["x"])
+    return F.transform(F.sort_array(keyed), lambda y: y["x"])
 
 
 def rank_contributions(rows: DataFrame, k: int = 10, top_names: int = 5) -> DataFrame:
@@ -96,7 +100,12 @@ def rank_contributions(rows: DataFrame, k: int = 10, top_names: int = 5) -> Data
 
 
 def long_form(ranked: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
-    """One row per item of a ranked list, with its rank."""
-    return ranked.select(*keep, F.posexplode(column).alias("pos", "item")).select(
-        *keep, (F.col("pos") + 1).alias("rank"), "item.feature", "item.value", "item.contribution",
-        "item.absolute_contribution", "item.contribution_percentage", "item.direction", "item.raw_gnn_field")
+    """One row per item of a ranked list, with its rank.
+
+    `inline` hands out whole items; picking fields after an explode would make the optimizer
+    rank the list once per field.
+    """
+    fields = ["feature", "value", "contribution", "absolute_contribution", "contribution_percentage",
+              "direction", "raw_gnn_field"]
+    items = F.transform(column, lambda x, i: F.struct((i + 1).alias("rank"), *[x[f].alias(f) for f in fields]))
+    return ranked.select(*keep, F.inline(items))

@@ -226,8 +226,7 @@ def _top8(spark, sf_dir):
 
 
 @query("explain_share_of_total", with_tx("").rstrip() + _LONG +
-       "\nselect transaction_id, feature, contribution_percentage as share from item where position < 6")
+       "\nselect transaction_id, feature, round(contribution_percentage, 1) as share from item where raw_gnn_field is not null")
 def _share(spark, sf_dir):
-    rows = explain.describe_contributions(contributions(spark, sf_dir))
-    return rows.select("transaction_id", F.explode("contributions").alias("i")).where("i.position < 6").select(
-        "transaction_id", "i.feature", F.col("i.contribution_percentage").alias("share"))
+    rows = explain.long_form(ranked(spark, sf_dir), "graph_contributors", ["transaction_id"])
+    return rows.select("transaction_id", "feature", F.round("contribution_percentage", 1).alias("share"))
