@@ -1,5 +1,5 @@
 """All registered queries; importing this package fills the registry."""
 
-from . import (feature_queries, graph_queries, message_queries, model_queries,  # noqa: F401
+from . import (contract_queries, feature_queries, graph_queries, message_queries, model_queries,  # noqa: F401
                quality_queries, typed_queries)
 from .base import ORACLES, QUERIES  # noqa: F401

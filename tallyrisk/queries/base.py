@@ -57,7 +57,8 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_tx(sql: str, *names: str) -> str:
     """Put the transaction view in front of a query that reads `tx`."""
-    return f"with tx as (\n{sample_view.duck_transactions(*names)}\n)\n{sql}"
+    joiner = "" if sql.startswith(",") else "\n"
+    return f"with tx as (\n{sample_view.duck_transactions(*names)}\n){joiner}{sql}"
 
 
 def log1p(x: str) -> str:
