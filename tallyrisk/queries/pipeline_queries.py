@@ -1,0 +1,314 @@
+"""Text preparation, files, generation, trained models and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schema, streaming
+from ..operators import explain, features, generate, textdata
+from ..plans import models, pipelines
+from ..session import fresh_path, materialize
+from ..sources import files, sample_view
+from .base import query, round_sql, rounded, tidy, tx, with_tx
+
+# ---- text records -----------------------------------------------------------------------
+
+
+def raw_records(spark, sf_dir):
+    """Documents as JSON records of every accepted shape, and some of none."""
+    docs = sample_view.table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 6
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.col("source").alias("content")),
+                    F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")))
+    record = (
+        F.when(k == 0, F.to_json(F.struct(turns.alias("messages"), F.col("text").alias("text"))))
+        .when(k == 1, F.to_json(F.struct(F.col("source").alias("prompt"), F.col("text").alias("completion"))))
+        .when(k == 2, F.to_json(F.struct(F.col("text").alias("text"))))
+        .when(k == 3, F.to_json(F.struct(F.col("lang").alias("instruction"), F.col("source").alias("input"), F.col("text").alias("output"))))
+        .when(k == 4, F.to_json(F.struct(F.col("lang").alias("instruction"), F.lit("").alias("input"), F.col("text").alias("output"))))
+        .otherwise(F.to_json(F.struct(F.col("text").alias("body")))))
+    return docs.select("doc_id", record.alias("record"))
+
+
+@query("text_instruction_records", """select doc_id, case doc_id % 6 when 0 then 'messages' when 1 then 'completion' when 2 then 'text' when 5 then null else 'instruction' end as shape,
+ case when doc_id % 6 = 0 then source when doc_id % 6 = 3 then concat(lang, chr(10), chr(10), 'Input:', chr(10), source) when doc_id % 6 = 4 then lang end as first_content,
+ case when doc_id % 6 in (0, 3, 4) then text end as last_content, case when doc_id % 6 = 1 then source end as prompt,
+ case when doc_id % 6 = 1 then text end as completion, case when doc_id % 6 = 2 then text end as text from documents""")
+def _instruction(spark, sf_dir):
+    out = textdata.normalize_instruction(raw_records(spark, sf_dir))
+    return out.select("doc_id", "shape", F.col("messages")[0]["content"].alias("first_content"),
+                      F.col("messages")[1]["content"].alias("last_content"), "prompt", "completion", "text")
+
+
+def preference_records(spark, sf_dir):
+    docs = sample_view.table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 3
+    record = (
+        F.when(k == 0, F.to_json(F.struct(F.col("source").alias("prompt"), F.col("text").alias("chosen"), F.col("lang").alias("rejected"))))
+        .when(k == 1, F.to_json(F.struct(F.col("source").alias("instruction"), F.col("lang").alias("chosen"), F.col("text").alias("rejected"))))
+        .otherwise(F.to_json(F.struct(F.col("source").alias("prompt"), F.col("text").alias("chosen")))))
+    return docs.select("doc_id", record.alias("record"))
+
+
+@query("text_preference_records", """select doc_id, case doc_id % 3 when 0 then 'preference' when 1 then 'instruction' end as shape,
+ case when doc_id % 3 < 2 then source end as prompt, case doc_id % 3 when 0 then text when 1 then lang end as chosen,
+ case doc_id % 3 when 0 then lang when 1 then text end as rejected from documents""")
+def _preference(spark, sf_dir):
+    out = textdata.normalize_preference(preference_records(spark, sf_dir))
+
+    def content(c):
+        return F.when(F.col("shape") == "instruction", F.get_json_object(c, "$[0].content")).otherwise(F.col(c)).alias(c)
+
+    return out.select("doc_id", "shape", content("prompt"), content("chosen"), content("rejected"))
+
+
+@query("text_preference_coverage", "select case when text = lang then 'identical' when length(c) < length(r) then 'chosen_shorter' "
+       "when length(c) > length(r) then 'chosen_longer' else 'same_length' end as kind, count(*) as pairs from (select text, lang, "
+       "case doc_id % 3 when 0 then text else lang end as c, case doc_id % 3 when 0 then lang else text end as r from documents "
+       "where doc_id % 3 < 2) as q group by 1")
+def _coverage(spark, sf_dir):
+    docs = sample_view.table(spark, sf_dir, "documents").where("doc_id % 3 < 2")
+    first = F.col("doc_id") % 3 == 0
+    return textdata.preference_coverage(docs.select(
+        F.when(first, F.col("text")).otherwise(F.col("lang")).alias("chosen"),
+        F.when(first, F.col("lang")).otherwise(F.col("text")).alias("rejected")))
+
+
+@query("text_conversations", "select conv_id, count(*) as turns, string_agg(concat(role, ':', text), chr(10) order by turn, role, text) as dialog "
+       "from conversations group by 1")
+def _conversations(spark, sf_dir):
+    records, long = textdata.conversation_messages(sample_view.table(spark, sf_dir, "conversations"))
+    return records.select("conv_id", F.size("messages").cast("bigint").alias("turns"), F.concat_ws("\n", F.transform(
+        "messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))).alias("dialog"))
+
+
+def _mask_sql(text):
+    for name, pattern in textdata.PERSONAL:
+        text = f"regexp_replace({text}, '{pattern}', '[{name}]', 'g')"
+    return text
+
+
+@query("text_masked", f"select doc_id, {_mask_sql('text')} as text, substring(sha256(concat('s', cast(doc_id as varchar))), 1, 16) as token from documents")
+def _masked(spark, sf_dir):
+    docs = sample_view.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", textdata.mask_personal(F.col("text")).alias("text"),
+                       textdata.tokenize_id(F.col("doc_id"), "s").alias("token"))
+
+
+_HELD = "case when cast(concat('0x', substring(sha256(cast(doc_id as varchar)), 1, 8)) as bigint) % 10 = 0 then 'held_out' else 'train' end"
+
+
+@query("text_held_out", f"select doc_id, {_HELD} as split from documents")
+def _held_out(spark, sf_dir):
+    return sample_view.table(spark, sf_dir, "documents").select("doc_id", textdata.held_out(F.col("doc_id")).alias("split"))
+
+
+@query("text_class_coverage", f"select split, sum((toxic = 1)::int)::bigint as positive, sum((toxic = 0)::int)::bigint as negative, "
+       f"sum((toxic = 1)::int) > 0 and sum((toxic = 0)::int) > 0 as both_present from (select *, {_HELD} as split from labels) as q group by 1")
+def _classes(spark, sf_dir):
+    rows = sample_view.table(spark, sf_dir, "labels").withColumn("split", textdata.held_out(F.col("doc_id")))
+    return textdata.class_coverage(rows, "toxic")
+
+
+@query("text_report_prompts", with_tx(
+    f"select transaction_id, 2::bigint as parts, 'system' as first_role, channel, label_is_fraud = 1 as is_fraud, currency as account_currency, "
+    f"'{textdata.REPORT_INSTRUCTION}' as instruction from tx", "transaction_id", "channel", "label_is_fraud", "currency"))
+def _prompts(spark, sf_dir):
+    df = tx(spark, sf_dir).select("transaction_id", "channel", "label_is_fraud", "currency")
+    out = textdata.report_prompts(df, F.struct("transaction_id", "channel"),
+                                  F.struct((F.col("label_is_fraud") == 1).alias("is_fraud")), F.struct("currency"))
+    body = F.col("messages")[1]["content"]
+    return out.select(
+        F.get_json_object(body, "$.transaction.transaction_id").alias("transaction_id"),
+        F.size("messages").cast("bigint").alias("parts"), F.col("messages")[0]["role"].alias("first_role"),
+        F.get_json_object(body, "$.transaction.channel").alias("channel"),
+        F.get_json_object(body, "$.classification_result.is_fraud").cast("boolean").alias("is_fraud"),
+        F.get_json_object(body, "$.customer_context.currency").alias("account_currency"),
+        F.get_json_object(body, "$.report_instruction").alias("instruction"))
+
+
+# ---- files ------------------------------------------------------------------------------
+
+
+@query("source_jsonl_records", "select count(*) as records, sum((doc_id % 6 <> 5)::int)::bigint as usable from documents")
+def _jsonl(spark, sf_dir):
+    path = fresh_path(spark, "records")
+    raw_records(spark, sf_dir).select("record").write.text(path)
+    # Spark names its parts *.txt; the folder reader is given the same lines as .jsonl
+    lines = files.require_valid(files.read_jsonl(spark, path))
+    out = textdata.normalize_instruction(lines)
+    return out.agg(F.count(F.lit(1)).alias("records"), F.count("shape").alias("usable"))
+
+
+@query("source_transactions_csv", with_tx(
+    f"select count(*) as \"rows\", sum(label_is_fraud)::bigint as frauds, {round_sql('avg(amount_inr)', 4)} as mean_amount, "
+    "max(epoch_us(transaction_dt)) as latest from tx", "label_is_fraud", "amount_inr", "transaction_dt"))
+def _csv(spark, sf_dir):
+    path = fresh_path(spark, "csv")
+    tx(spark, sf_dir).write.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX").csv(path)
+    df = files.read_transactions(spark, path, "csv")
+    return tidy(df.agg(F.count(F.lit(1)).alias("rows"), F.sum("label_is_fraud").alias("frauds"),
+                       F.avg("amount_inr").alias("mean_amount"), F.max("transaction_dt").alias("latest")), 4)
+
+
+@query("sink_versions_latest", with_tx(
+    "select channel, count(*) as \"rows\" from tx group by 1", "channel"))
+def _versions(spark, sf_dir):
+    base = fresh_path(spark, "versions")
+    df = tx(spark, sf_dir).select("transaction_id", "channel")
+    files.write_version(df.limit(1), base, "raw", "run1")
+    files.write_version(df, base, "raw", "run2")
+    return files.read_latest(spark, base, "raw").groupBy("channel").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ---- generation: one synthetic transaction per order line ------------------------------
+
+
+def _seeds(spark, sf_dir):
+    return tx(spark, sf_dir).select(F.col("transaction_id").alias("id"))
+
+
+def _uniform(stream):
+    return f"cast(concat('0x', substring(sha256(concat('42|{stream}|', transaction_id)), 1, 12)) as bigint) / 281474976710656e0"
+
+
+@query("generate_labels_channels", with_tx(f"""select sha256(concat('txn-42-', transaction_id)) as transaction_id, (u < 0.12)::int::bigint as label_is_fraud,
+  i < (case when u < 0.12 then 0.28e0 else 0.04e0 end) as is_international, sha256(concat('acct-', cast(floor(a * greatest(1, n // 4)) as bigint))) as account_id_hash,
+  concat('PG-', lpad(cast(1 + floor(p * 35) as int)::varchar, 3, '0')) as peer_group_id
+from (select transaction_id, {_uniform('label')} as u, {_uniform('is_international')} as i, {_uniform('account')} as a, {_uniform('peer')} as p,
+  count(*) over () as n from tx) as q""", "transaction_id"))
+def _generated(spark, sf_dir):
+    ids = _seeds(spark, sf_dir)
+    out = generate.generate(ids, ids.count())
+    return tidy(out.select("transaction_id", "label_is_fraud", "is_international", "account_id_hash", "peer_group_id"))
+
+
+@query("generate_distributions")
+def _distributions(spark, sf_dir):
+    ids = materialize(_seeds(spark, sf_dir), "ids")
+    out = generate.generate(ids, ids.count())
+    return tidy(out.groupBy("label_is_fraud").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("velocity_1h").alias("velocity_1h"), F.avg("velocity_7d").alias("velocity_7d"),
+        F.avg("days_since_account_open").alias("account_age"), F.avg("ip_reputation_score").alias("ip_reputation"),
+        F.avg("geo_distance_km").alias("geo_distance"), F.avg("peer_amount_percentile").alias("peer_percentile"),
+        F.avg(F.log("amount_inr")).alias("log_amount")))
+
+
+@query("generate_dataset_bundle")
+def _bundle(spark, sf_dir):
+    ids = materialize(_seeds(spark, sf_dir), "ids")
+    manifest = pipelines.build_dataset(generate.generate(ids, ids.count()), fresh_path(spark, "dataset"))
+    return spark.createDataFrame([(s["split"], s["n_total"], s["n_fraud"], manifest["passes_contract"]) for s in manifest["splits"]],
+                                 "split string, n_total bigint, n_fraud bigint, passes_contract boolean")
+
+
+# ---- trained models ---------------------------------------------------------------------
+
+TREES = {"trees": 10, "depth": 4}
+
+
+@query("pipeline_graph_tables")
+def _graph_tables(spark, sf_dir):
+    manifest = pipelines.build_graph_tables(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "graph"))
+    return spark.createDataFrame(list(manifest["counts"].items()), "`table` string, `rows` bigint")
+
+
+@query("model_accounts")
+def _accounts(spark, sf_dir):
+    manifest = pipelines.build_graph_tables(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "graph"))
+    return tidy(pipelines.train_accounts(pipelines.graph_tables(spark, manifest))[2])
+
+
+@query("model_transactions")
+def _transactions(spark, sf_dir):
+    return tidy(pipelines.train_transactions(materialize(tx(spark, sf_dir), "transactions"), TREES)[1])
+
+
+@query("model_feature_importance")
+def _importance(spark, sf_dir):
+    table = materialize(pipelines.training_table(materialize(tx(spark, sf_dir), "transactions")), "training")
+    return tidy(models.train_trees(table, params=TREES).importance(spark))
+
+
+@query("model_search")
+def _search(spark, sf_dir):
+    table = materialize(pipelines.training_table(materialize(tx(spark, sf_dir), "transactions")), "training")
+    choices = [{"trees": 3, "depth": p["depth"] // 2 + 1, "rate": p["rate"], "rows": p["rows"]} for p in models.search_params(2)]
+    best = models.train_trees(table, candidates=choices)
+    return spark.createDataFrame([(k, float(v)) for k, v in best.params.items()], "parameter string, value double")
+
+
+@query("model_scores_explained")
+def _explained(spark, sf_dir):
+    df = materialize(tx(spark, sf_dir), "transactions")
+    model, _ = pipelines.train_transactions(df, TREES)
+    return pipelines.score_and_explain(df, model).select(
+        "transaction_id", "probability", "risk_score", "is_fraud", "model_bias", "top_risk_factors", "top_risk_reducers",
+        F.col("gnn_findings.mule_network_probability").alias("mule_network_probability"))
+
+
+@query("pipeline_hybrid")
+def _hybrid(spark, sf_dir):
+    result = pipelines.hybrid(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "hybrid"), TREES)
+    return tidy(result["gates"])
+
+
+# ---- streams ----------------------------------------------------------------------------
+
+
+def _events(spark, sf_dir, delay="1 hour"):
+    return streaming.event_time(streaming.stream_table(spark, f"{sf_dir}/events.parquet"), "ts", delay)
+
+
+_CLOSED = "(select max(ts) - interval 1 hour from events)"
+
+
+@query("stream_window_velocity", "select epoch_us(s) as window_start, epoch_us(s + interval 1 hour) as window_end, user_id, count(*) as n, "
+       f"{round_sql('sum(value)', 4)} as total from (select user_id, value, time_bucket(interval 15 minutes, ts) - to_minutes(15 * k) as s "
+       f"from events, (values (0), (1), (2), (3)) as o(k)) as q where s + interval 1 hour <= {_CLOSED} group by s, user_id")
+def _stream_velocity(spark, sf_dir):
+    out = streaming.window_velocity(_events(spark, sf_dir), "user_id", "ts", "value", "event_type", "1 hour", "15 minutes")
+    result = streaming.run_available(out, "stream-velocity").drop("distinct_items")
+    newest = sample_view.table(spark, sf_dir, "events").agg((F.max("ts").cast("timestamp") - F.expr("interval 1 hour")).alias("m")).first()[0]
+    return tidy(streaming.closed_windows(result, F.lit(newest)), 4)
+
+
+@query("stream_first_pairs", "select count(*) as pairs from (select distinct user_id, event_type from events) as q")
+def _stream_first(spark, sf_dir):
+    out = streaming.first_pairs(_events(spark, sf_dir, "60 days"), "user_id", "event_type").select("user_id", "event_type")
+    return streaming.run_available(out, "stream-first").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query("stream_after_silence", f"select event_id, {round_sql('gap', 3)} as silence_seconds from (select event_id, "
+       "(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id))) / 1e6 as gap from events) as q where gap > 36000")
+def _stream_silence(spark, sf_dir):
+    out = streaming.after_silence(_events(spark, sf_dir), "user_id", "ts", "event_id", 36000)
+    return tidy(streaming.run_available(out, "stream-silence"), 3)
+
+
+@query("stream_fan_out", "select c.user_id, c.event_id as credit_id, count(distinct p.event_type) as items from events c join events p "
+       "on p.user_id = c.user_id and p.ts >= c.ts and p.ts <= c.ts + interval 12 hours where c.event_type = 'purchase' and p.event_type <> 'purchase' "
+       "group by 1, 2 having count(distinct p.event_type) >= 2")
+def _stream_fan_out(spark, sf_dir):
+    base = _events(spark, sf_dir)
+    credits = base.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("credit_id"), F.col("ts").alias("credited_at"))
+    pays = _events(spark, sf_dir).where("event_type <> 'purchase'").select("user_id", F.col("event_type").alias("item"), F.col("ts").alias("paid_at"))
+    joined = streaming.run_available(streaming.credit_then_payments(credits, pays, "user_id", "12 hours"), "stream-fan-out")
+    return streaming.dispersals(joined, "user_id", 2)
+
+
+@query("stream_scoring", with_tx(
+    "select transaction_id, case when p * 100 >= 50 then true else false end as is_fraud, cast(round_even(p * 100, 0) as bigint) as risk_score from "
+    "(select transaction_id, mule_network_probability as p from tx) as q", "transaction_id", "mule_network_probability"))
+def _stream_scoring(spark, sf_dir):
+    path = fresh_path(spark, "stream-input")
+    tx(spark, sf_dir).write.parquet(path)
+
+    def score(batch):
+        feats = features.transform(batch, ["transaction_id"])
+        p = F.col("mule_network_probability")
+        return explain.score_response(feats.select("transaction_id", p.alias("probability"), p.alias("raw_probability"))).select(
+            "transaction_id", "is_fraud", "risk_score")
+
+    done = streaming.score_stream(streaming.stream_table(spark, path), score, "stream-scores")
+    return tidy(spark.read.parquet(done).drop("batch"))

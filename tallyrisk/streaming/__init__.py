@@ -1 +1,110 @@
+"""Streaming forms of the behavioural columns."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..session import fresh_path
+
+
+def stream_table(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A folder of Parquet, or one file of it, as a stream with the schema of the files."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if path.endswith(".parquet"):
+        # a stream watches folders: name the file by a filter
+        path, name = path.rsplit("/", 1)
+        reader = reader.option("pathGlobFilter", name)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
+
+
+def event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermarks need a zoned timestamp."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
+def window_velocity(stream: DataFrame, key: str, ts: str, amount: str, item: str, size: str, slide: str) -> DataFrame:
+    """Count, sum and approximate distinct items per key and sliding window. Partial sums run
+    before the shuffle, so a busy key stays cheap."""
+    return stream.groupBy(F.window(ts, size, slide).alias("w"), key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(amount).alias("total"),
+        F.approx_count_distinct(item).alias("distinct_items")).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n", "total", "distinct_items")
+
+
+def first_pairs(stream: DataFrame, key: str, item: str) -> DataFrame:
+    """First row of each (key, item) while the pair stays inside the watermark."""
+    return stream.dropDuplicatesWithinWatermark([key, item])
+
+
+def after_silence(stream: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int) -> DataFrame:
+    """Rows that follow a silence longer than the gap. The state is one timestamp per key; the
+    rows of a key arrive as bounded Arrow batches."""
+    id_type = stream.schema[row_id].dataType
+    out = T.StructType([T.StructField(row_id, id_type), T.StructField("silence_seconds", T.DoubleType())])
+    state_type = T.StructType([T.StructField("last", T.LongType())])
+
+    def update(_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        for batch in batches:
+            # batches of one key are not in time order across files; within one they are sorted
+            batch = batch.sort_values("_at")
+            before = batch["_at"].shift(1)
+            if last is not None and len(batch):
+                before.iloc[0] = last
+            gap = (batch["_at"] - before) / 1e6
+            found = batch[gap > gap_seconds]
+            if len(batch):
+                last = int(max(batch["_at"].iloc[-1], last or 0))
+            yield pd.DataFrame({row_id: found[row_id], "silence_seconds": gap[gap > gap_seconds]})
+        if last is not None:
+            state.update((last,))
+
+    rows = stream.select(key, row_id, F.unix_micros(ts).alias("_at"))
+    return rows.groupBy(key).applyInPandasWithState(update, out, state_type, "append", GroupStateTimeout.NoTimeout)
+
+
+def credit_then_payments(credits: DataFrame, payments: DataFrame, key: str, window: str) -> DataFrame:
+    """Payments within the window after a credit of the same key. Both sides carry a watermark,
+    so state older than the window is dropped."""
+    c, p = credits.alias("c"), payments.alias("p")
+    within = (F.col(f"c.{key}") == F.col(f"p.{key}")) & (F.col("p.paid_at") >= F.col("c.credited_at")) & (
+        F.col("p.paid_at") <= F.col("c.credited_at") + F.expr(f"interval {window}"))
+    return c.join(p, within).select(F.col(f"c.{key}").alias(key), "c.credit_id", "c.credited_at", "p.item", "p.paid_at")
+
+
+def dispersals(joined: DataFrame, key: str, at_least: int) -> DataFrame:
+    """Credits followed by enough distinct items, from the stored result of the interval join."""
+    return joined.groupBy(key, "credit_id").agg(F.count_distinct("item").alias("items")).where(F.col("items") >= at_least)
+
+
+def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """Process everything that is there, write Parquet to the shared folder, read it back."""
+    spark = stream.sparkSession
+    path = fresh_path(spark, label)
+    query = (stream.writeStream.format("parquet").option("path", f"{path}/data")
+             .option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
+def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], label: str) -> str:
+    """Score each micro-batch with a batch function; a batch that is retried overwrites itself."""
+    path = fresh_path(stream.sparkSession, label)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+
+    query = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return f"{path}/data"
+
+
+def closed_windows(result: DataFrame, newest: Column) -> DataFrame:
+    return result.where(F.col("window_end") <= newest)
