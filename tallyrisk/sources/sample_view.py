@@ -68,7 +68,7 @@ def columns(d) -> dict[str, str]:
 
     return {
         "transaction_id": f"concat_ws('-', cast(l_orderkey as {d.text}), cast(l_linenumber as {d.text}), "
-                          f"cast(l_partkey as {d.text}), cast(l_suppkey as {d.text}))",
+                          f"cast(l_partkey as {d.text}), cast(l_suppkey as {d.text}), cast({price} as {d.text}))",
         "account_id_hash": d.sha(f"concat('acct-', cast(o_custkey as {d.text}))"),
         "beneficiary_id_hash": d.sha(f"concat('acct-', cast(l_suppkey as {d.text}))"),
         "device_fingerprint_hash": "case when l_partkey % 53 = 0 then null else "
