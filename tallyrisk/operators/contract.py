@@ -6,12 +6,12 @@ strictly earlier instant; money is summed in whole paise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import haversine_km
 from ..session import materialize
 from .skew import spread_join
-from .timeline import (DAY, HOUR, MICROS, before_gap, previous_instant, rolling_distinct, rolling_sums,
+from .timeline import (DAY, HOUR, MICROS, TILE_SECONDS, before_gap, previous_instant, rolling_distinct, rolling_sums,
                        running_totals, time_tile)
 
 ACCOUNT, TS, ID = "account_id_hash", "transaction_dt", "transaction_id"
@@ -138,7 +138,7 @@ def prior_reports(tx: DataFrame) -> DataFrame:
         .agg(F.sum(F.when(confirmed, 1).otherwise(0)).cast("bigint").alias("n"))
         .withColumn("_pos", 2 * F.col("_at"))
     )
-    cum = running_totals(instants, ["beneficiary_id_hash"], time_tile("_pos", 30 * DAY), ["_pos"], ["n"])
+    cum = running_totals(instants, ["beneficiary_id_hash"], time_tile("_pos", TILE_SECONDS), ["_pos"], ["n"])
     return cum.select("beneficiary_id_hash", F.timestamp_micros("_at").alias(TS),
                       (F.col("run_n") - F.col("n")).cast("int").alias("beneficiary_sar_count"))
 
@@ -225,7 +225,6 @@ def pagerank(pairs: DataFrame, iterations: int = 5, damping: float = 0.85, store
 
 def rate_periods(rates: DataFrame, key: str, ts: str, rate: str) -> DataFrame:
     """Rates with the half-open period each one is valid for."""
-    from pyspark.sql import Window
     order = Window.partitionBy(key).orderBy(ts)  # a handful of rows per currency and day
     return rates.withColumn("_until", F.lead(ts).over(order)).select(
         key, F.col(ts).alias("_from"), "_until", F.col(rate).alias("_rate"))

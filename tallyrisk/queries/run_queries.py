@@ -156,7 +156,7 @@ def _csv(spark, sf_dir):
 def _versions(spark, sf_dir):
     base = fresh_path(spark, "versions")
     df = tx(spark, sf_dir).select("transaction_id", "channel")
-    files.write_version(df.limit(1), base, "raw", "run1")
+    files.write_version(df.withColumn("channel", F.lit("OLD")), base, "raw", "run1")
     files.write_version(df, base, "raw", "run2")
     return files.read_latest(spark, base, "raw").groupBy("channel").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -207,7 +207,7 @@ def _bundle(spark, sf_dir):
 TREES = {"trees": 10, "depth": 4}
 
 
-@query("pipeline_graph_tables")
+@query("stage_graph_tables")
 def _graph_tables(spark, sf_dir):
     manifest = pipelines.build_graph_tables(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "graph"))
     return spark.createDataFrame(list(manifest["counts"].items()), "`table` string, `rows` bigint")
@@ -247,7 +247,7 @@ def _explained(spark, sf_dir):
         F.col("gnn_findings.mule_network_probability").alias("mule_network_probability"))
 
 
-@query("pipeline_hybrid")
+@query("hybrid_run")
 def _hybrid(spark, sf_dir):
     result = pipelines.hybrid(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "hybrid"), TREES)
     return tidy(result["gates"])
