@@ -9,7 +9,7 @@ from ..operators import explain, features, generate, textdata
 from ..plans import models, pipelines
 from ..session import fresh_path, materialize
 from ..sources import files, sample_view
-from .base import query, round_sql, rounded, tidy, tx, with_tx
+from .base import ORACLES, query, round_sql, tidy, tx, with_tx
 
 # ---- text records -----------------------------------------------------------------------
 
@@ -207,7 +207,13 @@ def _bundle(spark, sf_dir):
 TREES = {"trees": 10, "depth": 4}
 
 
-@query("stage_graph_tables")
+_EDGE_COUNTS = "".join(
+    f"\nunion all select '{name}', (select count(*) from (select distinct account_id_hash, {key} from g where {key} is not null) as {name})"
+    for name, key in (("account_device_edges", "device_fingerprint_hash"), ("account_ip_edges", "ip_node_id"),
+                      ("account_merchant_edges", "merchant_node_id")))
+
+
+@query("stage_graph_tables", ORACLES["graph_counts"] + _EDGE_COUNTS)
 def _graph_tables(spark, sf_dir):
     manifest = pipelines.build_graph_tables(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "graph"))
     return spark.createDataFrame(list(manifest["counts"].items()), "`table` string, `rows` bigint")
