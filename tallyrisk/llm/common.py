@@ -28,3 +28,34 @@ def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(c, upper, upper.lower())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of the links (a, b): vertex, root, one row per vertex with a link.
+
+    Every round each vertex is merged into the neighbour that comes first in an order drawn
+    anew for the round, which shrinks the graph by a constant factor on average whatever its
+    shape, chains included. Rounds are stored, so a lost executor costs one round at most. The
+    root is some vertex of the component.
+    """
+    edges = store(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                  .where("a <> b").distinct(), "links")
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        turn = F.lit(len(rounds))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = lambda v: F.struct(F.xxhash64(turn, v).alias("r"), F.col(v).alias("v"))
+        merged = both.groupBy("a").agg(F.min(rank("b")).alias("best"))
+        merged = store(merged.select(F.col("a").alias("vertex"), F.least("best", rank("a"))["v"].alias("root")), "merge")
+        rounds.append(merged)
+        left = merged.select(F.col("vertex").alias("a"), F.col("root").alias("ra"))
+        right = merged.select(F.col("vertex").alias("b"), F.col("root").alias("rb"))
+        moved = edges.join(left, "a").join(right, "b").where("ra <> rb")
+        edges = store(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+    if not rounds:
+        return edges.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+    found = rounds[-1]
+    for merged in reversed(rounds[:-1]):
+        later = found.select(F.col("vertex").alias("root"), F.col("root").alias("later"))
+        found = merged.join(later, "root", "left").select("vertex", F.coalesce("later", "root").alias("root"))
+    return store(found, "components")
