@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, quality_rules, simhash
+from . import decontaminate, pii, quality_rules, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,16 @@ def op9_benchmark_decontamination(spark, sf_dir):
 def op4_simhash_near_duplicates(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op1_personal_data")
+def op1_personal_data(spark, sf_dir):
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "spans")
+    kinds = [F.expr(f"size(filter(spans, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *kinds[:pii.BASE], F.sha2(_joined(base), 256).alias("base_sha256"),
+                        _joined(F.col("spans")).alias("spans"), kinds[pii.BASE])
