@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, pii, quality_rules, simhash
+from . import decontaminate, packing, pii, quality_rules, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,15 @@ def op1_personal_data(spark, sf_dir):
     base = F.filter("spans", lambda s: s["kind"] != "term")
     return found.select("doc_id", *kinds[:pii.BASE], F.sha2(_joined(base), 256).alias("base_sha256"),
                         _joined(F.col("spans")).alias("spans"), kinds[pii.BASE])
+
+
+def vocabulary() -> tuple[str, str]:
+    """Path and split pattern of the byte-level vocabulary; the same ids as byte_bpe_50k.json."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op5_sequence_packing")
+def op5_sequence_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), *vocabulary(), with_ids=False)
