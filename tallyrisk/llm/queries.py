@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, pii, quality_rules, simhash
+from . import decontaminate, packing, pii, quality_rules, simhash, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,8 @@ def vocabulary() -> tuple[str, str]:
 @query("op5_sequence_packing")
 def op5_sequence_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), *vocabulary(), with_ids=False)
+
+
+@query("op2_warc_records")
+def op2_warc_records(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
