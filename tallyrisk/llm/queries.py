@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, pii, quality_rules, simhash, warc
+from . import decontaminate, packing, pii, quality_rules, simhash, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,12 @@ def op5_sequence_packing(spark, sf_dir):
 @query("op2_warc_records")
 def op2_warc_records(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+
+
+@query("op8_url_filter")
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES))
