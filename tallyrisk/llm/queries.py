@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, pii, quality_rules, simhash, toxicity, url_filter, warc
+from . import decontaminate, licenses, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,45 @@ def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score(docs, table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        "kept_sha256")
+
+
+def _licenses_sql() -> str:
+    """Containment of every template in every window, without MinHash."""
+    rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '')"
+    return f"""with templates(template, license, text) as (values {rows}),
+template_words as (select template, license, {words} as ws from templates),
+template_shingles as (
+  select distinct template, license, array_to_string(ws[i:i+4], ' ') as s
+  from (select *, unnest(range(1, len(ws) - 3)) as i from template_words)),
+sizes as (
+  select template, count(*) as n, pow(2, ceil(log2(count(*))))::int as width from template_shingles group by template),
+doc_rows as (select row_number() over () as rid, doc_id, text from documents),
+doc_shingles as (
+  select rid, i - 1 as p, array_to_string(ws[i:i+4], ' ') as s
+  from (select rid, ws, unnest(range(1, len(ws) - 3)) as i from (select rid, {words} as ws from doc_rows))),
+held as (
+  select distinct rid, template, license, n, p // width - o as number, s
+  from doc_shingles join template_shingles using (s) join sizes using (template), range(0, 2) r(o) where p // width - o >= 0),
+found as (
+  select distinct rid, template, license from (
+    select rid, template, license, n, number from held group by all having count(*) >= {licenses.CONTAINMENT} * n)),
+per_row as (
+  select rid, string_agg(distinct license, ',' order by license) as licenses, count(distinct template) as n_templates
+  from found group by rid)
+select doc_id, coalesce(licenses, '') as licenses, coalesce(n_templates, 0)::bigint as n_templates
+from doc_rows left join per_row using (rid)"""
+
+
+@query("op7_license_scan", _licenses_sql())
+def op7_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.templates_table(spark))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_templates")
