@@ -77,8 +77,9 @@ def rarest_first(split: DataFrame, windows: DataFrame, block: int = BLOCK) -> Da
     tokens = windows.select(F.explode("words").alias("word")).select("word", _folded(F.col("word")).alias("token"))
     counts = None
     for part in _blocks(tokens, "token", block):
-        found = split.select(F.explode(F.filter(F.transform("words", _folded), lambda w: w.isin(part))).alias("token"))
-        found = found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        # the outer form: Spark turns a plain explode into a filter as well and would split the text twice
+        found = split.select(F.explode_outer(F.filter(F.transform("words", _folded), lambda w: w.isin(part))).alias("token"))
+        found = found.where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         counts = found if counts is None else counts.unionByName(found)
     placed = windows.select("item_id", "words", F.posexplode("words").alias("at", "word"))
     placed = placed.withColumn("token", _folded(F.col("word")))
@@ -101,9 +102,9 @@ def occurrences(split: DataFrame, prefixed: DataFrame, length: int = LENGTH, blo
             (_near("words", part, length - 1) if part else F.expr(f"cast(array() as {CANDIDATES})")).alias("near"))
         if number == 0:  # the row itself stands beside its candidates: nothing is joined back to the texts
             rows = rows.withColumn("near", F.concat(F.expr(f"cast(array(null) as {CANDIDATES})"), "near"))
-        rows = rows.select("doc_id", "digest", "n_words", F.explode("near").alias("c")).select(
+        rows = rows.select("doc_id", "digest", "n_words", F.explode_outer("near").alias("c")).select(
             "doc_id", "digest", "n_words", "c.*")
-        out = rows if out is None else out.unionByName(rows)
+        out = rows if out is None else out.unionByName(rows.where("token is not null"))
     # rows without a token get a key of their own (words have no blanks), so they do not meet in one task
     out = out.withColumn("key", F.coalesce("token", F.concat(F.lit(" "), F.col("digest").cast("string"))))
     joined = out.drop("token").join(prefixed.withColumnRenamed("token", "key"), "key", "left")
