@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import schema
 from ..functions.scalars import at_least, clip, seconds_between, sha_hex, stable_int
 
+# ---- Fixed values: the limits that `shared_entity_edges` takes on request ----
 MAX_SHARED_EDGES = 250_000
 CHAIN_LENGTH = 60
 
@@ -212,42 +213,49 @@ def merchant_edges(tx: DataFrame) -> DataFrame:
         (F.col("transaction_count_90d") == 1).cast("int").alias("is_first_transaction"))
 
 
-def entity_chain(edges: DataFrame, relation: str, cap: int, length: int = CHAIN_LENGTH) -> DataFrame:
-    """Consecutive pairs among the first `length` accounts of each entity, in id order.
+def entity_chain(edges: DataFrame, relation: str, cap: int | None = None, length: int | None = None) -> DataFrame:
+    """Consecutive pairs among the accounts of each entity, in id order.
 
-    The rank filter is applied per map task before the shuffle (a partial group limit), so a
-    hub entity sends at most `length` accounts from each task. The row cap is part of the
-    operator: entities in id order until `cap` pairs are found.
+    An entity's accounts are cut into tiles by the first two characters of the id, so a hub does
+    not end in one task: pairs inside a tile come from a window over the tile, and the last account
+    of a tile is followed by the first one of the next. With `length` only the first accounts of an
+    entity take part, with `cap` only the first pairs in entity order; both are off by default.
     """
+    ends = edges.select("src_node_id", "dst_node_id").distinct()
     per_entity = Window.partitionBy("dst_node_id").orderBy("src_node_id")
-    first = (
-        edges.select("src_node_id", "dst_node_id").distinct()
-        .withColumn("_rank", F.row_number().over(per_entity))
-        .where(F.col("_rank") <= length)
-    )
-    pairs = first.withColumn("_next", F.lead("src_node_id").over(per_entity)).where(F.col("_next").isNotNull())
-    return pairs.orderBy("dst_node_id", "_rank").limit(cap).select(
-        "src_node_id", F.col("_next").alias("dst_node_id"), F.lit(relation).alias("relation"),
-        F.col("dst_node_id").alias("shared_entity_id"), F.col("_rank"))
+    if length is not None:
+        # the rank filter runs per map task first, so a hub sends at most `length` accounts from each
+        ends = ends.withColumn("_rank", F.row_number().over(per_entity)).where(F.col("_rank") <= length).drop("_rank")
+    ends = ends.withColumn("_tile", F.substring("src_node_id", 1, 2))
+    inside = Window.partitionBy("dst_node_id", "_tile").orderBy("src_node_id")
+    near = ends.withColumn("_next", F.lead("src_node_id").over(inside)).select("src_node_id", "_next", "dst_node_id")
+    tiles = ends.groupBy("dst_node_id", "_tile").agg(F.min("src_node_id").alias("_first"), F.max("src_node_id").alias("src_node_id"))
+    across = Window.partitionBy("dst_node_id").orderBy("_tile")
+    far = tiles.withColumn("_next", F.lead("_first").over(across)).select("src_node_id", "_next", "dst_node_id")
+    pairs = near.unionByName(far).where(F.col("_next").isNotNull())
+    if cap is not None:
+        pairs = pairs.orderBy("dst_node_id", "src_node_id").limit(cap)
+    return pairs.select("src_node_id", F.col("_next").alias("dst_node_id"), F.lit(relation).alias("relation"),
+                        F.col("dst_node_id").alias("shared_entity_id"))
 
 
 def shared_entity_edges(device: DataFrame, ip: DataFrame, merchant: DataFrame,
-                        max_edges: int = MAX_SHARED_EDGES) -> DataFrame:
+                        max_edges: int | None = None, length: int | None = None) -> DataFrame:
     """Account pairs that share a device, an address or a merchant category."""
     # the first pair of a relation is emitted even when its share of the cap is zero
-    cap = max(1, max_edges // 3)
+    cap = None if max_edges is None else max(1, max_edges // 3)
     parts = [("SHARES_DEVICE", device, 0), ("SHARES_IP", ip, 1), ("SHARES_MERCHANT", merchant, 2)]
-    chains = [entity_chain(edges, name, cap).withColumn("_part", F.lit(part)) for name, edges, part in parts]
+    chains = [entity_chain(edges, name, cap, length).withColumn("_part", F.lit(part)) for name, edges, part in parts]
     union = chains[0].unionByName(chains[1]).unionByName(chains[2])
     names = ["src_node_id", "dst_node_id", "relation", "shared_entity_id"]
-    if max_edges <= 0:
+    if max_edges is not None and max_edges <= 0:
         return union.limit(0).select(*names)
-    if max_edges < 3:
-        union = union.orderBy("_part", "shared_entity_id", "_rank").limit(max_edges)
+    if max_edges is not None and max_edges < 3:
+        union = union.orderBy("_part", "shared_entity_id", "src_node_id").limit(max_edges)
     return union.select(*names).distinct()
 
 
-def build_graph(tx: DataFrame, max_edges: int = MAX_SHARED_EDGES) -> dict[str, DataFrame]:
+def build_graph(tx: DataFrame, max_edges: int | None = None, length: int | None = None) -> dict[str, DataFrame]:
     """All nine tables of the graph. Give a cached or stored table: each one reads it again."""
     tx = with_graph_ids(tx)
     device, ip, merchant = device_edges(tx), ip_edges(tx), merchant_edges(tx)
@@ -256,5 +264,5 @@ def build_graph(tx: DataFrame, max_edges: int = MAX_SHARED_EDGES) -> dict[str, D
         "ip_nodes": ip_nodes(tx), "merchant_nodes": merchant_nodes(tx),
         "account_account_edges": transfer_edges(tx), "account_device_edges": device,
         "account_ip_edges": ip, "account_merchant_edges": merchant,
-        "derived_account_edges": shared_entity_edges(device, ip, merchant, max_edges),
+        "derived_account_edges": shared_entity_edges(device, ip, merchant, max_edges, length),
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import schema
@@ -95,16 +96,18 @@ def _dense_batches(df, keep, inputs, weights, bias, prefix):
 
     def apply(batches):
         for batch in batches:
-            values = batch[wanted].to_numpy(dtype=float) @ matrix + offset
-            out = batch[kept].copy()
-            for i in range(values.shape[1]):
-                out[f"{prefix}{i}"] = values[:, i]
-            yield out
+            columns = [batch.column(batch.schema.names.index(c)) for c in wanted]
+            # a NULL input makes every output NULL and a NaN stays NaN, as in the narrow form
+            empty = np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in columns])
+            values = np.column_stack([c.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns]) @ matrix + offset
+            out = [batch.column(batch.schema.names.index(k)) for k in kept]
+            out += [pa.array(values[:, i], pa.float64(), mask=empty) for i in range(values.shape[1])]
+            yield pa.RecordBatch.from_arrays(out, names=[*kept, *(f"{prefix}{i}" for i in range(values.shape[1]))])
 
     picked = df.select(*kept, *wanted)
     schema_out = T.StructType([picked.schema[k] for k in kept]
                               + [T.StructField(f"{prefix}{i}", T.DoubleType()) for i in range(len(offset))])
-    return picked.mapInPandas(apply, schema_out)
+    return picked.mapInArrow(apply, schema_out)
 
 
 def relu(value: Column) -> Column:
@@ -165,18 +168,6 @@ def expiring_scores(scores: DataFrame, now: Column, ttl_seconds: int = 7200) ->
         F.timestamp_micros(F.unix_micros(now) + ttl_seconds * 1_000_000).alias("expires_at"))
 
 
-def hop_features(vectors: DataFrame, columns: Sequence[str], edges: DataFrame, hops: int = 2) -> DataFrame:
-    """The features and their means over 1 .. hops steps, side by side: input for a plain
-    classifier in place of a trained message-passing network."""
-    out, current = vectors.select("node_id", *columns), list(columns)
-    for hop in range(1, hops + 1):
-        fresh = neighbour_mean(edges, out.select("node_id", *current), current, prefix="n_")
-        renamed = [F.col(f"n_{c}").alias(f"hop{hop}_{b}") for c, b in zip(current, columns)]
-        out = out.join(fresh.select("node_id", *renamed), "node_id")
-        current = [f"hop{hop}_{c}" for c in columns]
-    return out
-
-
 def class_weights(nodes: DataFrame, label: str = "node_label") -> DataFrame:
     """total / max(count, 1) per class, divided by the mean over both classes."""
     counts = nodes.agg(*[F.sum(F.when(F.col(label) == k, 1).otherwise(0)).alias(f"n{k}") for k in (0, 1)])

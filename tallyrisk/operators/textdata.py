@@ -16,6 +16,8 @@ PERSONAL = [
     ("SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     ("PHONE", r"\+?[0-9][0-9() .-]{8,}[0-9]"),
 ]
+
+# ---- Fixed values: the request of a risk report ----
 REPORT_INSTRUCTION = "Write a business-readable fraud risk assessment report."
 SYSTEM_TEXT = ("You assess payment fraud risk. Use only the transaction, the model results and the customer context "
                "given below, and do not speculate. Report the overall risk, its main drivers, signals from the "
@@ -55,6 +57,8 @@ def normalize_instruction(records: DataFrame, column: str = "record") -> DataFra
     s = F.col("shape")
     return records.withColumn("shape", shape).withColumns({
         "messages": F.when(s == "messages", F.from_json(_field(r, "messages"), MESSAGES)).when(s == "instruction", dialog),
+        # as given, with all keys of a message
+        "messages_json": F.when(s == "messages", _field(r, "messages")).when(s == "instruction", F.to_json(dialog)),
         "prompt": F.when(s == "completion", _field(r, "prompt")),
         "completion": F.when(s == "completion", _field(r, "completion")),
         "text": F.when(s == "text", _field(r, "text")),
@@ -87,19 +91,16 @@ def rejected(normalized: DataFrame) -> DataFrame:
     return normalized.where("shape is null")
 
 
-def conversation_messages(turns: DataFrame, max_turns: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(one record per conversation, turns of oversized conversations as rows).
+def conversation_messages(turns: DataFrame, max_turns: int = 10_000) -> DataFrame:
+    """One record per conversation and part: conv_id, part, messages in order.
 
-    A record is one value, so its size must be bounded: longer conversations come back whole
-    in the second table instead. They number at most rows / max_turns, hence the broadcast.
+    A record is one value, so its size must be bounded: part n holds the turns numbered from
+    n * max_turns on. Ordinary conversations have part 0 only; no turn is left out.
     """
-    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_turns).select("conv_id")
-    long = F.broadcast(sizes)
-    short = turns.join(long, "conv_id", "left_anti")
+    part = F.floor(F.col("turn") / max_turns).cast("bigint").alias("part")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    records = short.groupBy("conv_id").agg(ordered.alias("_t")).select(
-        "conv_id", F.transform("_t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
-    return records, turns.join(long, "conv_id", "left_semi")
+    return turns.groupBy("conv_id", part).agg(ordered.alias("_t")).select(
+        "conv_id", "part", F.transform("_t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
 
 
 def mask_personal(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema
-from ..operators import explain, features, generate, graph, inject, metrics, positions, propagate, quality
+from ..operators import explain, features, graph, inject, metrics, positions, propagate, quality
 from ..session import fresh_path, materialize
 from ..sources import files
 from . import models
@@ -33,12 +33,7 @@ def build_dataset(tx: DataFrame, base: str, mode: str = "synthetic", scores: Dat
     return files.write_manifest(spark, base, "dataset", run, payload)
 
 
-def generate_dataset(spark: SparkSession, n: int, base: str, seed: int = 42, **options) -> dict:
-    build = {k: options.pop(k) for k in ("mode", "scores", "temporal", "engineered", "splits") if k in options}
-    return build_dataset(generate.generate_rows(spark, n, seed=seed, **options), base, **build)
-
-
-def build_graph_tables(tx: DataFrame, base: str, max_edges: int = graph.MAX_SHARED_EDGES) -> dict:
+def build_graph_tables(tx: DataFrame, base: str, max_edges: int | None = None, length: int | None = None) -> dict:
     """Nine graph tables with their row counts."""
     spark, run = tx.sparkSession, files.new_run_id()
     paths, counts = {}, {"transactions": tx.count()}
@@ -51,7 +46,7 @@ def build_graph_tables(tx: DataFrame, base: str, max_edges: int = graph.MAX_SHAR
         paths[name] = files.write_version(make(tx), base, name, run)
         stored[name] = spark.read.parquet(paths[name])
     derived = graph.shared_entity_edges(stored["account_device_edges"], stored["account_ip_edges"],
-                                        stored["account_merchant_edges"], max_edges)
+                                        stored["account_merchant_edges"], max_edges, length)
     paths["derived_account_edges"] = files.write_version(derived, base, "derived_account_edges", run)
     for name, path in paths.items():
         counts[name] = spark.read.parquet(path).count()  # answered from the file footers
@@ -62,36 +57,52 @@ def graph_tables(spark: SparkSession, manifest: dict) -> dict[str, DataFrame]:
     return {k: spark.read.parquet(v) for k, v in manifest["files"].items()}
 
 
-def train_accounts(tables: dict[str, DataFrame], hops: int = 2, with_derived: bool = True,
-                   exclude_label_features: bool = False) -> tuple[models.AccountModel, DataFrame, DataFrame]:
-    """(model, scores of all accounts, metrics per split)."""
-    base = [c for c in schema.ACCOUNT_FEATURES if not (exclude_label_features and c == "prior_confirmed_fraud")]
+def hop_table(tables: dict[str, DataFrame], base: list[str], statistics: DataFrame, hops: int, with_derived: bool) -> DataFrame:
+    """Scaled node features and their neighbour means over 1..hops; each hop is stored, as the next reads it."""
     nodes = tables["account_nodes"]
     derived = tables["derived_account_edges"] if with_derived else None
     edges = materialize(propagate.message_edges(nodes, tables["account_account_edges"], derived), "messages")
-    statistics = materialize(propagate.feature_statistics(nodes, base), "scaler")
-    vectors = materialize(propagate.standardize(nodes, statistics, base), "vectors")
-    # each hop reads the one before it, so every one is stored
-    table, current = vectors, list(base)
+    table = materialize(propagate.standardize(nodes, statistics, base), "vectors")
+    current = list(base)
     for hop in range(1, hops + 1):
         means = propagate.neighbour_mean(edges, table.select("node_id", *current), current)
         fresh = means.select("node_id", *[F.col(f"n_{c}").alias(f"hop{hop}_{b}") for c, b in zip(current, base)])
         table = materialize(table.join(fresh, "node_id"), f"hop{hop}")
         current = [f"hop{hop}_{c}" for c in base]
+    return table
+
+
+def train_accounts(tables: dict[str, DataFrame], hops: int = 2, with_derived: bool = True,
+                   exclude_label_features: bool = False) -> tuple[models.AccountModel, DataFrame, DataFrame]:
+    """(model, scores of all accounts, metrics per split)."""
+    base = [c for c in schema.ACCOUNT_FEATURES if not (exclude_label_features and c == "prior_confirmed_fraud")]
+    nodes = tables["account_nodes"]
+    statistics = materialize(propagate.feature_statistics(nodes, base), "scaler")
+    table = hop_table(tables, base, statistics, hops, with_derived)
     marked = materialize(positions.account_temporal_split(nodes).select("node_id", "node_label", "split"), "split")
     model = models.train_account_model(marked, table, base, statistics, hops)
+    model.with_derived = with_derived
     scored = materialize(model.score(table), "account-scores")
     judged = marked.join(scored, "node_id").select("split", F.col("node_label").alias("label"), "probability")
     return model, propagate.score_table(scored), metrics.evaluate(judged, ["split"])
 
 
-def training_table(tx: DataFrame, temporal: bool = True) -> DataFrame:
-    """transaction_id, features, label, weight, split: everything on one row."""
-    weighted = features.sample_weights(tx)
-    split = (positions.temporal_split if temporal else positions.stratified_split)(tx).select("transaction_id", "split")
-    rows = features.transform(weighted.withColumn("label", F.col("label_is_fraud").cast("double")),
-                              ["transaction_id", "label", "sample_weight"])
-    return rows.withColumnRenamed("sample_weight", "weight").join(split, "transaction_id")
+def score_accounts(model: models.AccountModel, tables: dict[str, DataFrame]) -> DataFrame:
+    """Scores of the accounts of any graph by a trained or reloaded model, with the model's own scaler."""
+    table = hop_table(tables, model.base, model.statistics, model.hops, model.with_derived)
+    return propagate.score_table(materialize(model.score(table), "account-scores"))
+
+
+def training_table(tx: DataFrame, temporal: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """transaction_id, features, label, weight, split and the kept columns: everything on one row.
+
+    The split is an expression of the row, so nothing is joined on the id: rows without an id, or
+    with a repeated one, stay as they are.
+    """
+    marked = (positions.temporal_split if temporal else positions.stratified_split)(features.sample_weights(tx))
+    rows = features.transform(marked.withColumn("label", F.col("label_is_fraud").cast("double")),
+                              ["transaction_id", "label", "sample_weight", "split", *keep])
+    return rows.withColumnRenamed("sample_weight", "weight")
 
 
 def train_transactions(tx: DataFrame, params: dict | None = None, candidates: list[dict] | None = None,
@@ -100,29 +111,30 @@ def train_transactions(tx: DataFrame, params: dict | None = None, candidates: li
     table = materialize(training_table(tx, temporal), "training")
     model = models.train_trees(table, params=params, candidates=candidates, early_stop=early_stop)
     scored = materialize(model.score(table, ["transaction_id", "label", "split"]).drop("features"), "scored")
+    model.scored = scored
     raw = metrics.calibration_error(scored.withColumn("probability", F.col("raw_probability")), ["split"])
     judged = metrics.evaluate(scored, ["split"]).join(raw.withColumnRenamed("ece", "raw_ece"), "split")
     return model, judged
 
 
 def score_and_explain(tx: DataFrame, model: models.TreeModel, k: int = 10) -> DataFrame:
-    """Published score columns, graph findings and ranked contributions per transaction."""
-    spark = tx.sparkSession
-    path = fresh_path(spark, "model")
+    """Published score columns, graph findings and ranked contributions per transaction; one row
+    per row of `tx`, carried through without a join."""
+    path = fresh_path(tx.sparkSession, "model")
     model.save(path)
-    table = materialize(features.transform(tx, ["transaction_id"]), "features")
-    scored = materialize(model.score(table, ["transaction_id"]), "scores")
-    shares = models.path_contributions(scored, path, model.features, ["transaction_id", "raw_probability", "probability"])
+    with_findings = tx.withColumn("gnn_findings", features.graph_findings(tx))
+    table = features.transform(with_findings, ["transaction_id", "gnn_findings"])
+    scored = materialize(model.score(table, ["transaction_id", "gnn_findings"]), "scores")
+    shares = models.path_contributions(scored, path, model.features,
+                                       ["transaction_id", "gnn_findings", "raw_probability", "probability"])
     names = F.array(*[F.lit(f) for f in model.features])
-    rows = shares.join(table, "transaction_id")
-    values = F.array(*[F.col(f) for f in model.features])
-    items = F.transform(F.arrays_zip(names.alias("f"), values.alias("v"), F.col("amounts").alias("c")), lambda x: F.struct(
+    items = F.transform(F.arrays_zip(names.alias("f"), F.col("inputs").alias("v"), F.col("amounts").alias("c")), lambda x: F.struct(
         x["f"].alias("feature"), x["v"].alias("value"), x["c"].alias("contribution")))
-    rows = materialize(rows.select("transaction_id", "raw_probability", "probability", "bias", items.alias("contributions")), "items")
+    rows = materialize(shares.select("transaction_id", "gnn_findings", "raw_probability", "probability", "bias",
+                                     items.alias("contributions")), "items")
     ranked = explain.rank_contributions(explain.describe_contributions(rows), k)
-    found = tx.select("transaction_id", features.graph_findings(tx).alias("gnn_findings"))
     return explain.score_response(ranked).withColumn("basis", F.lit(explain.BASIS)).withColumn(
-        "model_bias", F.round("bias", 6)).drop("bias").join(found, "transaction_id")
+        "model_bias", F.round("bias", 6)).drop("bias")
 
 
 def hybrid(tx: DataFrame, base: str, params: dict | None = None, train_gnn: bool = True, train_trees: bool = True,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..session import materialize
 from ..sources import sample_view
 from .base import clip_sql, log1p, query, rounded, tidy, tx, with_tx
 
@@ -197,35 +198,39 @@ def merchant_edges(spark, sf_dir):
     return tidy(graph.merchant_edges(graph_tx(spark, sf_dir)))
 
 
-def chain_sql(key: str, relation: str, cap: int) -> str:
+def chain_sql(key: str, relation: str, cap: int | None, length: int | None) -> str:
+    first = "" if length is None else f"where rn <= {length}"
+    limit = "" if cap is None else f"order by shared_entity_id, rn limit {cap}"
     return (f"select src_node_id, dst_node_id, '{relation}' as relation, shared_entity_id from (select src_node_id, "
             "lead(src_node_id) over (partition by d order by src_node_id) as dst_node_id, d as shared_entity_id, rn "
             "from (select a as src_node_id, d, row_number() over (partition by d order by a) as rn from "
             f"(select distinct account_id_hash as a, {key} as d from g where {key} is not null) as x) as y "
-            f"where rn <= 60) as z where dst_node_id is not null order by shared_entity_id, rn limit {cap}")
+            f"{first}) as z where dst_node_id is not null {limit}")
 
 
-def derived_sql(max_edges: int) -> str:
-    cap = max(1, max_edges // 3)
+def derived_sql(max_edges: int | None = None, length: int | None = None) -> str:
+    cap = None if max_edges is None else max(1, max_edges // 3)
     return "select distinct * from (" + " union all ".join(
-        f"select * from ({chain_sql(k, r, cap)}) as c{i}" for i, (k, r) in enumerate([
+        f"select * from ({chain_sql(k, r, cap, length)}) as c{i}" for i, (k, r) in enumerate([
             ("device_fingerprint_hash", "SHARES_DEVICE"), ("ip_node_id", "SHARES_IP"),
             ("merchant_node_id", "SHARES_MERCHANT")])) + ") as u"
 
 
-def derived(spark, sf_dir, max_edges=graph.MAX_SHARED_EDGES):
-    df = graph_tx(spark, sf_dir)
-    return graph.shared_entity_edges(graph.device_edges(df), graph.ip_edges(df), graph.merchant_edges(df), max_edges)
+def derived(spark, sf_dir, max_edges=None, length=None):
+    df = materialize(graph_tx(spark, sf_dir).select(
+        "transaction_id", "account_id_hash", "device_fingerprint_hash", "transaction_dt", "amount_inr", "ip_node_id",
+        "merchant_node_id"), "transactions")
+    return graph.shared_entity_edges(graph.device_edges(df), graph.ip_edges(df), graph.merchant_edges(df), max_edges, length)
 
 
-@query("edge_shared_entities", with_graph(derived_sql(graph.MAX_SHARED_EDGES), ["device_fingerprint_hash"]))
+@query("edge_shared_entities", with_graph(derived_sql(), ["device_fingerprint_hash"]))
 def _derived(spark, sf_dir):
     return derived(spark, sf_dir)
 
 
-@query("edge_shared_entities_capped", with_graph(derived_sql(900), ["device_fingerprint_hash"]))
+@query("edge_shared_entities_capped", with_graph(derived_sql(900, graph.CHAIN_LENGTH), ["device_fingerprint_hash"]))
 def _derived_capped(spark, sf_dir):
-    return derived(spark, sf_dir, 900)
+    return derived(spark, sf_dir, 900, graph.CHAIN_LENGTH)
 
 
 @query("graph_counts", with_graph(f"""select 'transactions' as "table", count(*) as "rows" from g
@@ -234,10 +239,10 @@ union all select 'device_nodes', count(distinct device_fingerprint_hash) from g
 union all select 'ip_nodes', count(distinct ip_node_id) from g
 union all select 'merchant_nodes', count(distinct merchant_category_code) from g
 union all select 'account_account_edges', (select count(*) from (select distinct account_id_hash, beneficiary_id_hash from g) as e)
-union all select 'derived_account_edges', (select count(*) from ({derived_sql(graph.MAX_SHARED_EDGES)}) as d)""",
+union all select 'derived_account_edges', (select count(*) from ({derived_sql()}) as d)""",
     ["beneficiary_id_hash", "device_fingerprint_hash"]))
 def _counts(spark, sf_dir):
-    df = tx(spark, sf_dir)
+    df = materialize(tx(spark, sf_dir), "transactions")
     tables = graph.build_graph(df)
     names = ["account_nodes", "device_nodes", "ip_nodes", "merchant_nodes", "account_account_edges",
              "derived_account_edges"]

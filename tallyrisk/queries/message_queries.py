@@ -62,7 +62,7 @@ _HEAD, _BODY = _NODES.rsplit("\nselect node_id, age", 1)
 NODE_CTE = f", {_HEAD}, nodes as (\nselect node_id, age{_BODY}\n)"
 EDGE_CTE = f""", pairs as (
   select account_id_hash as s, beneficiary_id_hash as d from (select distinct account_id_hash, beneficiary_id_hash from g) as x
-  union all select src_node_id, dst_node_id from ({derived_sql(graph.MAX_SHARED_EDGES)}) as y
+  union all select src_node_id, dst_node_id from ({derived_sql()}) as y
 ), edges as (
   select s, d from pairs union all select d, s from pairs union all select node_id, node_id from nodes
 )"""

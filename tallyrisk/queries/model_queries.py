@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..operators import explain, features, metrics, positions
 from ..sources import sample_view
+from ..session import materialize
+from .quality_queries import _bad as bad_rows, defective
 from .base import query, round_sql, rounded, tidy, tx, with_tx
 from .feature_queries import feature_sql
 
@@ -230,3 +232,16 @@ def _top8(spark, sf_dir):
 def _share(spark, sf_dir):
     rows = explain.long_form(ranked(spark, sf_dir), "graph_contributors", ["transaction_id"])
     return rows.select("transaction_id", "feature", F.round("contribution_percentage", 1).alias("share"))
+
+
+def _bad_split(partition: str, order: str) -> str:
+    return bad_rows(f"select split, label_is_fraud, count(*) as \"rows\" from (select label_is_fraud, {_split_case()} as split from ("
+                    f"select label_is_fraud, row_number() over ({partition} order by {order}) - 1 as i, count(*) over ({partition}) as n "
+                    "from bad) as o) as s group by 1, 2")
+
+
+@query("split_temporal_defective", _bad_split("", "transaction_dt nulls last, coalesce(transaction_id, '')"))
+def _temporal_defective(spark, sf_dir):
+    """Rows without an id or a label, and repeated ids, are split like all others."""
+    marked = positions.temporal_split(materialize(defective(spark, sf_dir), "transactions"), fetch=100)
+    return tidy(marked.groupBy("split", "label_is_fraud").agg(F.count(F.lit(1)).alias("rows")))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .. import schema, streaming
-from ..operators import explain, features, generate, textdata
+from ..operators import explain, features, textdata
 from ..plans import models, pipelines
 from ..session import fresh_path, materialize
 from ..sources import files, sample_view
 from .base import ORACLES, query, round_sql, tidy, tx, with_tx
+from .graph_queries import with_graph
+from .model_queries import _SPLIT as SPLIT_SQL, _SPLIT_NAMES as SPLIT_NAMES
+from .quality_queries import _bad as bad_rows, defective
 
 # ---- text records -----------------------------------------------------------------------
 
@@ -74,12 +77,29 @@ def _coverage(spark, sf_dir):
         F.when(first, F.col("lang")).otherwise(F.col("text")).alias("rejected")))
 
 
-@query("text_conversations", "select conv_id, count(*) as turns, string_agg(concat(role, ':', text), chr(10) order by turn, role, text) as dialog "
-       "from conversations group by 1")
+def _dialogs(turns, max_turns):
+    return textdata.conversation_messages(turns, max_turns).select("conv_id", "part", F.size("messages").cast("bigint").alias("turns"), F.concat_ws(
+        "\n", F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))).alias("dialog"))
+
+
+@query("text_conversations", "select conv_id, (turn // 10000)::bigint as part, count(*) as turns, "
+       "string_agg(concat(role, ':', text), chr(10) order by turn, role, text) as dialog from conversations group by 1, 2")
 def _conversations(spark, sf_dir):
-    records, long = textdata.conversation_messages(sample_view.table(spark, sf_dir, "conversations"))
-    return records.select("conv_id", F.size("messages").cast("bigint").alias("turns"), F.concat_ws("\n", F.transform(
-        "messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))).alias("dialog"))
+    return _dialogs(sample_view.table(spark, sf_dir, "conversations"), 10_000)
+
+
+_ORDER_TURNS = ("select l_suppkey % 2 as conv_id, l_orderkey * 8 + l_linenumber as turn, l_returnflag as role, "
+                "cast(l_partkey as varchar) as text from lineitem")
+
+
+@query("text_conversation_parts", "select conv_id::bigint as conv_id, (turn // 10000)::bigint as part, count(*) as turns, "
+       f"string_agg(concat(role, ':', text), chr(10) order by turn, role, text) as dialog from ({_ORDER_TURNS}) as t group by 1, 2")
+def _conversation_parts(spark, sf_dir):
+    """Two conversations over all order lines, far longer than one record may be."""
+    lines = sample_view.table(spark, sf_dir, "lineitem")
+    turns = lines.selectExpr("cast(l_suppkey % 2 as bigint) as conv_id", "l_orderkey * 8 + l_linenumber as turn", "l_returnflag as role",
+                             "cast(l_partkey as string) as text")
+    return _dialogs(turns, 10_000)
 
 
 def _mask_sql(text):
@@ -161,50 +181,32 @@ def _versions(spark, sf_dir):
     return files.read_latest(spark, base, "raw").groupBy("channel").agg(F.count(F.lit(1)).alias("rows"))
 
 
-# ---- generation: one synthetic transaction per order line ------------------------------
-
-
-def _seeds(spark, sf_dir):
-    return tx(spark, sf_dir).select(F.col("transaction_id").alias("id"))
-
-
-def _uniform(stream):
-    return f"cast(concat('0x', substring(sha256(concat('42|{stream}|', transaction_id)), 1, 12)) as bigint) / 281474976710656e0"
-
-
-@query("generate_labels_channels", with_tx(f"""select sha256(concat('txn-42-', transaction_id)) as transaction_id, (u < 0.12)::int::bigint as label_is_fraud,
-  i < (case when u < 0.12 then 0.28e0 else 0.04e0 end) as is_international, sha256(concat('acct-', cast(floor(a * greatest(1, n // 4)) as bigint))) as account_id_hash,
-  concat('PG-', lpad(cast(1 + floor(p * 35) as int)::varchar, 3, '0')) as peer_group_id
-from (select transaction_id, {_uniform('label')} as u, {_uniform('is_international')} as i, {_uniform('account')} as a, {_uniform('peer')} as p,
-  count(*) over () as n from tx) as q""", "transaction_id"))
-def _generated(spark, sf_dir):
-    ids = _seeds(spark, sf_dir)
-    out = generate.generate(ids, ids.count())
-    return tidy(out.select("transaction_id", "label_is_fraud", "is_international", "account_id_hash", "peer_group_id"))
-
-
-@query("generate_distributions")
-def _distributions(spark, sf_dir):
-    ids = materialize(_seeds(spark, sf_dir), "ids")
-    out = generate.generate(ids, ids.count())
-    return tidy(out.groupBy("label_is_fraud").agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("velocity_1h").alias("velocity_1h"), F.avg("velocity_7d").alias("velocity_7d"),
-        F.avg("days_since_account_open").alias("account_age"), F.avg("ip_reputation_score").alias("ip_reputation"),
-        F.avg("geo_distance_km").alias("geo_distance"), F.avg("peer_amount_percentile").alias("peer_percentile"),
-        F.avg(F.log("amount_inr")).alias("log_amount")))
+# ---- dataset bundle ---------------------------------------------------------------------
 
 
-@query("generate_dataset_bundle")
+@query("dataset_bundle", ORACLES["split_statistics"])
 def _bundle(spark, sf_dir):
-    ids = materialize(_seeds(spark, sf_dir), "ids")
-    manifest = pipelines.build_dataset(generate.generate(ids, ids.count()), fresh_path(spark, "dataset"))
-    return spark.createDataFrame([(s["split"], s["n_total"], s["n_fraud"], manifest["passes_contract"]) for s in manifest["splits"]],
-                                 "split string, n_total bigint, n_fraud bigint, passes_contract boolean")
+    manifest = pipelines.build_dataset(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "dataset"))
+    return tidy(spark.createDataFrame([(s["split"], s["n_total"], s["n_fraud"], s["fraud_rate"]) for s in manifest["splits"]],
+                                      "split string, n_total bigint, n_fraud bigint, fraud_rate double"))
 
 
 # ---- trained models ---------------------------------------------------------------------
 
-TREES = {"trees": 10, "depth": 4}
+_MODELS: dict[tuple[str, str], tuple] = {}
+
+
+def trained(spark, sf_dir):
+    """(path of the saved tree model, its metrics, its scored rows, the stored transactions); trained
+    with the library's defaults, once per session and folder."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _MODELS:
+        df = materialize(tx(spark, sf_dir), "transactions")
+        model, judged = pipelines.train_transactions(df)
+        path = fresh_path(spark, "tree-model")
+        model.save(path)
+        _MODELS[at] = (path, materialize(judged, "metrics"), model.scored, df)
+    return _MODELS[at]
 
 
 _EDGE_COUNTS = "".join(
@@ -219,44 +221,132 @@ def _graph_tables(spark, sf_dir):
     return spark.createDataFrame(list(manifest["counts"].items()), "`table` string, `rows` bigint")
 
 
-@query("model_accounts")
-def _accounts(spark, sf_dir):
-    manifest = pipelines.build_graph_tables(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "graph"))
-    return tidy(pipelines.train_accounts(pipelines.graph_tables(spark, manifest))[2])
+def _recomputed(scored):
+    """Precision and recall at one half, straight from the stored scores."""
+    hit = (F.col("probability") >= 0.5) & (F.col("label") == 1)
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_total"), F.sum(F.col("label").cast("bigint")).alias("n_fraud"),
+        F.try_divide(F.count_if(hit), F.count_if(F.col("probability") >= 0.5)).alias("p"),
+        F.try_divide(F.count_if(hit), F.count_if(F.col("label") == 1)).alias("r"),
+        (F.min("probability") >= 0).alias("low"), (F.max("probability") <= 1).alias("high"))
 
 
-@query("model_transactions")
-def _transactions(spark, sf_dir):
-    return tidy(pipelines.train_transactions(materialize(tx(spark, sf_dir), "transactions"), TREES)[1])
+def _close(a, b):
+    return F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))) < 1e-9
+
+
+def _in_unit(*names):
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(n).between(0.0, 1.0)
+    return out
 
 
-@query("model_feature_importance")
+@query("model_accounts", with_graph(f"""select split, count(*) as n_total, sum(node_label)::bigint as n_fraud, true as metrics_hold, true as reload_agrees
+from (select node_label, case when i < greatest(1, floor(n * 0.8e0)) then 'train' when i < greatest(greatest(1, floor(n * 0.8e0)) + 1, floor(n * 0.9e0)) then 'val' else 'test' end as split
+  from (select node_label, row_number() over (order by last_tx, node_id) - 1 as i, count(*) over () as n
+    from (select a as node_id, max(transaction_dt) as last_tx, max(label_is_fraud) as node_label from
+      (select account_id_hash as a, transaction_dt, label_is_fraud from g union all
+       select beneficiary_id_hash, transaction_dt, label_is_fraud from g) as r group by 1) as v) as o) as q group by 1""",
+    ["transaction_dt", "label_is_fraud", "beneficiary_id_hash"]))
+def _accounts(spark, sf_dir):
+    """Rows and frauds per split, metrics in range, and the same scores from the saved and reloaded model."""
+    manifest = pipelines.build_graph_tables(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "graph"))
+    tables = pipelines.graph_tables(spark, manifest)
+    model, scores, judged = pipelines.train_accounts(tables)
+    path = fresh_path(spark, "account-model")
+    model.save(path)
+    again = pipelines.score_accounts(models.AccountModel.load(path), tables)
+    joined = scores.withColumnRenamed("gnn_fraud_probability", "a").join(
+        again.select("account_id_hash", F.col("gnn_fraud_probability").alias("b")), "account_id_hash", "full")
+    off = joined.where(~F.coalesce(F.abs(F.col("a") - F.col("b")) < 1e-9, F.lit(False))).count()
+    rows = judged.withColumns({"n_total": F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), "n_fraud": F.col("tp") + F.col("fn")})
+    return rows.select("split", "n_total", "n_fraud", _in_unit("precision", "recall", "auc", "pr_auc", "ece").alias("metrics_hold"),
+                       F.lit(off == 0).alias("reload_agrees"))
+
+
+@query("model_transactions", with_tx(f"select split, count(*) as n_total, sum(label_is_fraud)::bigint as n_fraud, true as metrics_hold, "
+       f"true as metrics_recomputed from ({SPLIT_SQL}) as s group by 1", *SPLIT_NAMES))
+def _transactions(spark, sf_dir):
+    """Rows and frauds per split; metrics lie in range and follow from the stored scores."""
+    _, judged, scored, _ = trained(spark, sf_dir)
+    both = _recomputed(scored).join(judged, "split")
+    return both.select("split", "n_total", "n_fraud", (_in_unit("precision", "recall", "auc", "pr_auc", "ece", "raw_ece", "brier")
+                                                       & F.col("low") & F.col("high")).alias("metrics_hold"),
+                       (_close(F.col("p"), F.col("precision")) & _close(F.col("r"), F.col("recall"))).alias("metrics_recomputed"))
+
+
+@query("model_calibration", with_tx("select count(*) as \"rows\", 0::bigint as falls from tx", "transaction_id"))
+def _calibration(spark, sf_dir):
+    """Calibrated scores never fall where raw scores rise: adjacent raw scores, by slices of the raw score."""
+    _, _, scored, _ = trained(spark, sf_dir)
+    points = scored.groupBy("raw_probability").agg(F.min("probability").alias("low"), F.max("probability").alias("high"), F.count(F.lit(1)).alias("n"))
+    points = points.withColumn("slice", F.floor(F.col("raw_probability") * 1000))
+    earlier = Window.partitionBy("slice").orderBy("raw_probability").rowsBetween(Window.unboundedPreceding, -1)
+    inside = points.withColumn("before", F.max("high").over(earlier))
+    slices = inside.groupBy("slice").agg(F.sum("n").alias("n"), F.count_if(F.col("low") < F.col("before") - 1e-12).alias("falls"),
+                                         F.min("low").alias("low"), F.max("high").alias("high"))
+    across = slices.withColumn("before", F.max("high").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))  # 1001 rows
+    return across.agg(F.sum("n").alias("rows"), F.sum(F.col("falls") + F.coalesce(F.col("low") < F.col("before") - 1e-12, F.lit(False)).cast("int")).alias("falls"))
+
+
+@query("model_feature_importance", f"select unnest([{', '.join(repr(f) for f in schema.FEATURES)}]) as feature, true as in_range, true as adds_up")
 def _importance(spark, sf_dir):
-    table = materialize(pipelines.training_table(materialize(tx(spark, sf_dir), "transactions")), "training")
-    return tidy(models.train_trees(table, params=TREES).importance(spark))
+    """Every feature has an importance in 0..1, and together they make one."""
+    path = trained(spark, sf_dir)[0]
+    rows = models.TreeModel.load(path).importance(spark)
+    total = rows.agg(F.sum("importance").alias("t"))
+    return rows.crossJoin(F.broadcast(total)).select("feature", F.col("importance").between(0.0, 1.0).alias("in_range"),
+                                                     (F.abs(F.col("t") - 1) < 1e-9).alias("adds_up"))
 
 
-@query("model_search")
+@query("model_search", f"select unnest([{', '.join(repr(k) for k in models.SEARCH_SPACE)}]) as parameter, true as inside, true as best_wins")
 def _search(spark, sf_dir):
+    """Two draws from the whole space, fitted side by side with early stopping; the better one is kept."""
     table = materialize(pipelines.training_table(materialize(tx(spark, sf_dir), "transactions")), "training")
-    choices = [{"trees": 3, "depth": p["depth"] // 2 + 1, "rate": p["rate"], "rows": p["rows"]} for p in models.search_params(2)]
-    best = models.train_trees(table, candidates=choices)
-    return spark.createDataFrame([(k, float(v)) for k, v in best.params.items()], "parameter string, value double")
+    draws = models.search_params(2)
+    best = models.train_trees(table, candidates=draws, early_stop=True)
+    rows = [(k, low <= best.params[k] <= high, any(all(best.params[p] == d[p] for p in d) for d in draws))
+            for k, (low, high) in models.SEARCH_SPACE.items()]
+    return spark.createDataFrame(rows, "parameter string, inside boolean, best_wins boolean")
 
 
-@query("model_scores_explained")
+@query("model_scores_explained", with_tx("select transaction_id, true as adds_up, true as risk_follows, true as flag_follows, "
+       "mule_network_probability from tx", "transaction_id", "mule_network_probability"))
 def _explained(spark, sf_dir):
-    df = materialize(tx(spark, sf_dir), "transactions")
-    model, _ = pipelines.train_transactions(df, TREES)
-    return pipelines.score_and_explain(df, model).select(
-        "transaction_id", "probability", "risk_score", "is_fraud", "model_bias", "top_risk_factors", "top_risk_reducers",
-        F.col("gnn_findings.mule_network_probability").alias("mule_network_probability"))
-
-
-@query("hybrid_run")
+    """Bias and contributions add up to the margin of every row; risk and flag follow from the probability."""
+    path, _, _, df = trained(spark, sf_dir)
+    model = models.TreeModel.load(path)
+    out = pipelines.score_and_explain(df, model, k=len(model.features))
+    total = F.aggregate("top_contributors", F.col("model_bias"), lambda a, x: a + x["contribution"])
+    chance = 1 / (1 + F.exp(-2 * total))
+    p = F.col("probability")
+    return tidy(out.select(
+        "transaction_id", (F.abs(chance - F.col("raw_model_probability")) < 1e-4).alias("adds_up"),
+        (F.abs(F.col("risk_score") - p * 100) <= 0.5 + 1e-3).alias("risk_follows"),
+        ((F.col("is_fraud") == (p >= 0.5)) | (F.abs(p - 0.5) < 1e-6)).alias("flag_follows"),
+        F.col("gnn_findings.mule_network_probability").alias("mule_network_probability")))
+
+
+@query("model_rows_kept", bad_rows("select count(*) as \"rows\", count(*) filter (transaction_id is null) as without_id, "
+       "count(*) filter (transaction_id = 'dup') as repeated from bad"))
+def _rows_kept(spark, sf_dir):
+    """The training table has every row, also those without an id or with a repeated one."""
+    table = pipelines.training_table(materialize(defective(spark, sf_dir), "transactions"))
+    return table.agg(F.count("split").alias("rows"), F.count_if(F.col("transaction_id").isNull()).alias("without_id"),
+                     F.count_if(F.col("transaction_id") == "dup").alias("repeated"))
+
+
+@query("hybrid_run", f"select unnest([{', '.join(repr(m) for m, _, _ in schema.DEPLOYMENT_GATES)}]) as metric, true as follows, true as conjunction")
 def _hybrid(spark, sf_dir):
-    result = pipelines.hybrid(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "hybrid"), TREES)
-    return tidy(result["gates"])
+    """Every gate is reported, follows from its value, and all of them make the verdict."""
+    result = pipelines.hybrid(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "hybrid"))
+    rows = materialize(result["gates"], "gates")
+    follows = F.when(F.col("op") == ">=", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
+    verdict = rows.agg(F.min("passed").alias("every"))
+    return rows.crossJoin(F.broadcast(verdict)).select(
+        "metric", ((follows == F.col("passed")) | (F.abs(F.col("value") - F.col("threshold")) < 1e-6)).alias("follows"),
+        (F.col("all_passed") == F.col("every")).alias("conjunction"))
 
 
 # ---- streams ----------------------------------------------------------------------------
@@ -285,9 +375,11 @@ def _stream_first(spark, sf_dir):
     return streaming.run_available(out, "stream-first").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query("stream_after_silence", f"select event_id, {round_sql('gap', 3)} as silence_seconds from (select event_id, "
-       "(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id))) / 1e6 as gap from events) as q where gap > 36000")
+@query("stream_after_silence", f"select event_id, {round_sql('gap', 3)} as silence_seconds from (select event_id, ts, "
+       "(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id))) / 1e6 as gap from events) as q where gap > 36000 "
+       "and epoch_ms(ts) < (select epoch_ms(max(ts)) - 3600000 from events)")
 def _stream_silence(spark, sf_dir):
+    """Rows the watermark has passed; the newest hour is still open."""
     out = streaming.after_silence(_events(spark, sf_dir), "user_id", "ts", "event_id", 36000)
     return tidy(streaming.run_available(out, "stream-silence"), 3)
 
@@ -303,18 +395,22 @@ def _stream_fan_out(spark, sf_dir):
     return streaming.dispersals(joined, "user_id", 2)
 
 
-@query("stream_scoring", with_tx(
-    "select transaction_id, case when p * 100 >= 50 then true else false end as is_fraud, cast(round_even(p * 100, 0) as bigint) as risk_score from "
-    "(select transaction_id, mule_network_probability as p from tx) as q", "transaction_id", "mule_network_probability"))
+@query("stream_scoring", with_tx("select count(*) as \"rows\", 0::bigint as differing from tx", "transaction_id"))
 def _stream_scoring(spark, sf_dir):
+    """The stored model over a stream, against the same reloaded model over the whole table."""
+    saved, _, _, df = trained(spark, sf_dir)
+    model = models.TreeModel.load(saved)
     path = fresh_path(spark, "stream-input")
-    tx(spark, sf_dir).write.parquet(path)
+    df.repartition(3).write.parquet(path)
 
     def score(batch):
-        feats = features.transform(batch, ["transaction_id"])
-        p = F.col("mule_network_probability")
-        return explain.score_response(feats.select("transaction_id", p.alias("probability"), p.alias("raw_probability"))).select(
-            "transaction_id", "is_fraud", "risk_score")
-
-    done = streaming.score_stream(streaming.stream_table(spark, path), score, "stream-scores")
-    return tidy(spark.read.parquet(done).drop("batch"))
+        scored = model.score(features.transform(batch, ["transaction_id"]), ["transaction_id"])
+        return explain.score_response(scored.drop("features")).select("transaction_id", "is_fraud", "risk_score", "probability")
+
+    done = streaming.score_stream(streaming.stream_table(spark, path, max_files=1), score, "stream-scores")
+    streamed, whole = spark.read.parquet(done), score(df)
+    kinds = ["transaction_id", "is_fraud", "risk_score", "probability"]
+    counted = streamed.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n")).unionByName(
+        whole.groupBy(*kinds).agg((-F.count(F.lit(1))).alias("n")))
+    off = counted.groupBy(*kinds).agg(F.sum("n").alias("n")).agg(F.sum(F.abs("n")).alias("differing"))
+    return streamed.agg(F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(off))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -43,30 +44,36 @@ def first_pairs(stream: DataFrame, key: str, item: str) -> DataFrame:
 
 
 def after_silence(stream: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int) -> DataFrame:
-    """Rows that follow a silence longer than the gap. The state is one timestamp per key; the
-    rows of a key arrive as bounded Arrow batches."""
+    """Rows that follow a silence longer than the gap, in event-time order whatever the order of
+    arrival. `stream` carries a watermark: rows wait in the state of their key until it has passed
+    them, then the gaps are taken in order. The state is the time of the last row and the rows that
+    still wait."""
     id_type = stream.schema[row_id].dataType
     out = T.StructType([T.StructField(row_id, id_type), T.StructField("silence_seconds", T.DoubleType())])
-    state_type = T.StructType([T.StructField("last", T.LongType())])
+    state_type = T.StructType([T.StructField("last", T.LongType()), T.StructField("waiting", T.StringType())])
 
     def update(_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for batch in batches:
-            # batches of one key are not in time order across files; within one they are sorted
-            batch = batch.sort_values("_at")
-            before = batch["_at"].shift(1)
-            if last is not None and len(batch):
-                before.iloc[0] = last
-            gap = (batch["_at"] - before) / 1e6
-            found = batch[gap > gap_seconds]
-            if len(batch):
-                last = int(max(batch["_at"].iloc[-1], last or 0))
-            yield pd.DataFrame({row_id: found[row_id], "silence_seconds": gap[gap > gap_seconds]})
-        if last is not None:
-            state.update((last,))
-
-    rows = stream.select(key, row_id, F.unix_micros(ts).alias("_at"))
-    return rows.groupBy(key).applyInPandasWithState(update, out, state_type, "append", GroupStateTimeout.NoTimeout)
+        last, waiting = (state.get[0], json.loads(state.get[1])) if state.exists else (None, [])
+        if not state.hasTimedOut:
+            for batch in batches:
+                waiting += [[int(at), i.item() if hasattr(i, "item") else i] for at, i in zip(batch["_at"], batch[row_id])]
+        passed = state.getCurrentWatermarkMs()
+        waiting.sort()
+        ready = [w for w in waiting if w[0] // 1000 < passed]
+        waiting = waiting[len(ready):]
+        ids, gaps = [], []
+        for at, i in ready:
+            if last is not None and at - last > gap_seconds * 1_000_000:
+                ids.append(i)
+                gaps.append((at - last) / 1e6)
+            last = at if last is None else max(last, at)
+        state.update((last, json.dumps(waiting)))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, passed + 1))
+        yield pd.DataFrame({row_id: ids, "silence_seconds": gaps})
+
+    rows = stream.select(key, row_id, ts, F.unix_micros(ts).alias("_at"))
+    return rows.groupBy(key).applyInPandasWithState(update, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def credit_then_payments(credits: DataFrame, payments: DataFrame, key: str, window: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrisk import schema
 from tallyrisk.functions.scalars import half_even, stable_int
-from tallyrisk.operators import (contract, explain, features, generate, graph, inject, metrics, positions, propagate,
+from tallyrisk.operators import (contract, explain, features, graph, inject, metrics, positions, propagate,
                                  quality, skew, textdata, timeline)
 from tallyrisk.sources import files, sample_view
 
@@ -109,7 +109,16 @@ def edges(spark, pairs):
 @pytest.mark.parametrize("accounts,links", [(1, 0), (2, 1), (61, 59)])
 def test_chain_length(spark, accounts, links):
     table = edges(spark, [(f"a{i:03d}", "d") for i in range(accounts)])
-    assert graph.entity_chain(table, "R", 10_000).count() == links
+    assert graph.entity_chain(table, "R", 10_000, 60).count() == links
+
+
+def test_whole_chain(spark):
+    ids = [f"{i * 7919 % 1000:03d}" for i in range(500)]
+    table = edges(spark, [(a, "d") for a in ids + ids[:50]] + [("x", "e"), ("y", "e"), ("z", "f")])
+    got = {(r.shared_entity_id, r.src_node_id, r.dst_node_id) for r in graph.entity_chain(table, "R").collect()}
+    ordered = sorted(set(ids))
+    assert got == {("d", a, b) for a, b in zip(ordered, ordered[1:])} | {("e", "x", "y")}
+    assert graph.shared_entity_edges(table, table, table).count() == 3 * len(got)
 
 
 def test_shared_edges_caps(spark):
@@ -237,13 +246,14 @@ def test_contributions_all_zero_and_order(spark):
 
 
 def test_wide_and_narrow_layers_agree(spark, monkeypatch):
-    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", -1.0, 0.5)], "node_id string, x double, y double")
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", -1.0, 0.5), ("c", None, 1.0), ("d", float("nan"), 1.0)], "node_id string, x double, y double")
     weights, bias = [[1.0, 2.0], [0.5, -1.0]], [0.1, 0.2]
     narrow = propagate.dense(df, ["node_id"], ["x", "y"], weights, bias, "o").collect()
     monkeypatch.setattr(propagate, "WIDE", 0)
     wide = propagate.dense(df, ["node_id"], ["x", "y"], weights, bias, "o").collect()
     for a, b in zip(sorted(narrow), sorted(wide)):
-        assert a[0] == b[0] and a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
+        assert a[0] == b[0] and a[1:] == (pytest.approx(b[1:], nan_ok=True) if a[1] is not None else b[1:])
+    assert [r[1] is None for r in sorted(wide)] == [False, False, True, False]
 
 
 def test_scaling_of_constant_and_infinite_columns(spark):
@@ -270,11 +280,16 @@ def test_record_shapes_and_files(spark, tmp_path):
         files.read_records(spark, str(tmp_path / "nothing"))
 
 
-def test_oversized_conversations_come_back_whole(spark):
-    turns = spark.createDataFrame([(1, i, "user", str(i)) for i in range(5)] + [(2, 0, "user", "x")],
+def test_long_conversations_come_in_parts(spark):
+    turns = spark.createDataFrame([(1, i, "user", str(i)) for i in range(10_001)] + [(2, 0, "user", "x")],
                                   "conv_id int, turn int, role string, text string")
-    records, long = textdata.conversation_messages(turns, max_turns=3)
-    assert [r.conv_id for r in records.collect()] == [2] and long.count() == 5
+    got = sorted((r.conv_id, r.part, len(r.messages), r.messages[0].content) for r in textdata.conversation_messages(turns).collect())
+    assert got == [(1, 0, 10_000, "0"), (1, 1, 1, "10000"), (2, 0, 1, "x")]
+
+
+def test_messages_keep_their_keys(spark):
+    rows = spark.createDataFrame([('{"messages":[{"role":"tool","content":"c","tool_call_id":"7"}]}',)], "record string")
+    assert '"tool_call_id":"7"' in one(textdata.normalize_instruction(rows)).messages_json
 
 
 def test_records_in_memory(spark):
@@ -283,14 +298,6 @@ def test_records_in_memory(spark):
     assert row.amount_inr == 5.0 and "zzz" not in df.columns and dict(df.dtypes)["transaction_dt"] == "timestamp"
 
 
-def test_generator_is_independent_of_partitioning(spark):
-    a = generate.generate(spark.range(300), 300).orderBy("transaction_id").collect()
-    b = generate.generate(spark.range(300).repartition(3), 300).orderBy("transaction_id").collect()
-    assert a == b and len(a[0]) == 48
-    with pytest.raises(ValueError):
-        generate.generate_rows(spark, 100)
-
-
 def test_keyed_scores_expire(spark):
     scores = spark.createDataFrame([("a", 0.5, 50)], "account_id_hash string, gnn_fraud_probability double, gnn_risk_score int")
     now = F.timestamp_seconds(F.lit(1000))
@@ -298,3 +305,30 @@ def test_keyed_scores_expire(spark):
     assert one(rows).value == "0.500000"
     assert files.live_scores(rows, F.timestamp_seconds(F.lit(1009))).count() == 1
     assert files.live_scores(rows, F.timestamp_seconds(F.lit(1010))).count() == 0
+
+
+def test_splits_with_nulls_and_equal_rows(spark):
+    from datetime import datetime
+
+    when = datetime(2024, 3, 1)
+    rows = [(None if i % 9 == 0 else f"t{i % 7}", None if i % 5 == 0 else when, None if i % 6 == 0 else i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "transaction_id string, transaction_dt timestamp, label_is_fraud int")
+    for marked in (positions.temporal_split(df, fetch=2), positions.stratified_split(df, fetch=2)):
+        assert marked.count() == 100 and marked.where("split is null").count() == 0
+    assert positions.temporal_split(df).where("transaction_dt is null and split = 'train'").count() == 0
+    nodes = df.select(F.col("transaction_id").alias("node_id"), F.col("transaction_dt").alias("last_tx"))
+    assert positions.cutoff_split(nodes.where("last_tx is not null")).where("split is null").count() == 0
+
+
+def test_silences_of_rows_out_of_order(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tallyrisk import streaming
+
+    start = datetime(2024, 3, 1)
+    for n, hours in enumerate(([0, 20], [10, 21], [60])):
+        rows = [("k", start + timedelta(hours=h), f"e{h}") for h in hours]
+        spark.createDataFrame(rows, "k string, ts timestamp, id string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streaming.event_time(streaming.stream_table(spark, str(tmp_path / "in"), max_files=1), "ts", "30 hours")
+    out = streaming.run_available(streaming.after_silence(stream, "k", "ts", "id", 9 * 3600), "silences")
+    assert sorted((r.id, r.silence_seconds / 3600) for r in out.collect()) == [("e10", 10.0), ("e20", 10.0)]
