@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import haversine_km
 from ..session import materialize
+from .graph import with_graph_ids
 from .skew import spread_join
 from .timeline import (DAY, HOUR, MICROS, TILE_SECONDS, before_gap, previous_instant, rolling_distinct, rolling_sums,
                        running_totals, time_tile)
@@ -93,7 +94,7 @@ def login_distance(tx: DataFrame, key: str, ts: str, lat: str, lon: str) -> Data
 def behavioural_drift(tx: DataFrame, recent_days: int = 7, base_days: int = 90) -> DataFrame:
     """1 - exp(-KL) between the amount histogram of the last week and of the last 90 days.
 
-    Buckets are powers of four of the amount; every bucket gets one extra count, so the
+    Buckets are powers of sixteen of the amount; every bucket gets one extra count, so the
     divergence is always defined. One row per (account, instant).
     """
     bucket = F.least(F.floor(F.log2(F.greatest("amount_inr", F.lit(1.0))) / 4), F.lit(DRIFT_BUCKETS - 1))
@@ -223,28 +224,26 @@ def pagerank(pairs: DataFrame, iterations: int = 5, damping: float = 0.85, store
     return ranks.crossJoin(top).select("node_id", (F.col("rank") / F.col("top")).alias("originator_graph_centrality"))
 
 
-def rate_periods(rates: DataFrame, key: str, ts: str, rate: str) -> DataFrame:
-    """Rates with the half-open period each one is valid for."""
-    order = Window.partitionBy(key).orderBy(ts)  # a handful of rows per currency and day
-    return rates.withColumn("_until", F.lead(ts).over(order)).select(
-        key, F.col(ts).alias("_from"), "_until", F.col(rate).alias("_rate"))
-
-
-def usd_equivalent(tx: DataFrame, rates: DataFrame, last_day: Column) -> DataFrame:
+def usd_equivalent(tx: DataFrame, rates: DataFrame) -> DataFrame:
     """amount / rate valid at the transaction time; NULL before the first rate.
 
-    Periods are laid out per day, so the as-of lookup is an equality join on (currency, day)
-    and a comparison; a crowded day is cut into slices. The list of a day holds the rates of one
-    currency on that day, a size set by the rate feed and not by the transactions.
+    Rates and rows are laid on one time line, cut into hours per currency: inside an hour the last
+    rate so far is carried on, and an hour opens with the last rate of those before it. What a
+    window holds is an hour of one currency, never its history.
     """
-    periods = rate_periods(rates, "currency", "rate_ts", "rate")
-    days = F.sequence(F.to_date("_from"), F.to_date(F.greatest(F.coalesce("_until", last_day), F.col("_from"))))
-    laid = periods.withColumn("_day", F.explode(days))
-    per_day = laid.groupBy("currency", "_day").agg(F.collect_list(F.struct("_from", "_until", "_rate")).alias("_periods"))
-    joined = spread_join(tx.withColumn("_day", F.to_date(TS)), per_day, ["currency", "_day"], F.col(ID))
-    valid = F.filter("_periods", lambda p: (p["_from"] <= F.col(TS)) & (p["_until"].isNull() | (F.col(TS) < p["_until"])))
-    return joined.withColumn("amount_usd_equiv", F.col("amount_inr") / F.try_element_at(valid, F.lit(1))["_rate"]).drop(
-        "_periods", "_day")
+    hour = F.floor(F.unix_micros(TS) / (HOUR * MICROS))
+    feed = rates.select("currency", F.col("rate_ts").alias(TS), F.col("rate").alias("_rate")).withColumn("_hour", hour)
+    rows = tx.withColumn("_hour", hour)
+    closing = feed.groupBy("currency", "_hour").agg(F.max_by("_rate", TS).alias("_closing"))
+    hours = rows.select("currency", "_hour").where("_hour is not null").distinct().join(closing, ["currency", "_hour"], "full")
+    earlier = Window.partitionBy("currency").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)  # one row an hour
+    opening = hours.select("currency", "_hour", F.last("_closing", True).over(earlier).alias("_opening"))
+    line = rows.withColumn("_is_row", F.lit(True)).unionByName(feed.withColumn("_is_row", F.lit(False)), allowMissingColumns=True)
+    so_far = Window.partitionBy("currency", "_hour").orderBy(TS, "_is_row").rowsBetween(Window.unboundedPreceding, 0)
+    carried = line.withColumn("_now", F.last("_rate", True).over(so_far)).where("_is_row")
+    found = carried.join(opening, ["currency", "_hour"], "left")
+    return found.select(*[F.col(c) for c in tx.columns],
+                        (F.col("amount_inr") / F.coalesce("_now", "_opening")).alias("amount_usd_equiv"))
 
 
 def with_instants(tx: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -253,21 +252,47 @@ def with_instants(tx: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame
     return spread_join(tx.drop(*names), table, keys, F.col(ID))
 
 
-def enrich(tx: DataFrame, store=materialize) -> DataFrame:
-    """Velocity, distinct-count, profile, peer and shared-entity columns, replacing those present.
+def network_columns(tx: DataFrame, store=materialize) -> list[tuple[DataFrame, list[str]]]:
+    """Tables (with their keys) of the columns that come from the transfer network: dispersal,
+    reports two transfers away, centrality, and accounts that share the address."""
+    pairs = store(undirected(tx), "pairs")
+    far = second_hop_reports(pairs, store(account_reports(tx), "reports")).withColumnRenamed("node_id", ACCOUNT)
+    directed = store(tx.select(F.col(ACCOUNT).alias("a"), F.col("beneficiary_id_hash").alias("b")).where(
+        "a is not null and b is not null").distinct(), "directed")
+    central = pagerank(directed, store=store).withColumnRenamed("node_id", ACCOUNT)
+    per_account = central.join(far.withColumn("second_hop_sar_count", F.col("second_hop_sar_count").cast("int")), ACCOUNT, "left")
+    return [(store(rapid_fan_out(tx), "fan_out"), [ACCOUNT, TS]), (store(per_account, "centrality"), [ACCOUNT]),
+            (store(shared_accounts(tx, "ip_node_id", "shared_ip_accounts"), "shared_ip"), ["ip_node_id"])]
+
+
+def enrich(tx: DataFrame, store=materialize, network: bool = True, rates: DataFrame | None = None) -> DataFrame:
+    """The behavioural columns of the contract, replacing those present.
+
+    `tx` is a stored table. Velocities, distinct counts, profile, drift, first and dormant flags,
+    reports, peer rank and shared devices always; with `network` also dispersal, second-hop reports,
+    centrality and shared addresses; with `rates` (currency, rate_ts, rate) also the amount in
+    dollars. Failed logins and login distances come from login events, not from transactions: see
+    `failed_authentications` and `login_distance`.
 
-    `tx` is a stored table. Each join reads its left side twice, so the rows are stored after
-    each of them; the tables that share the key (account, instant) are joined first.
+    Each join reads its left side twice, so the rows are stored after each of them; the tables that
+    share the key (account, instant) are joined first.
     """
+    columns = tx.columns
     per_instant = velocities(tx).join(distinct_beneficiaries(tx), [ACCOUNT, TS]).join(distinct_devices(tx), [ACCOUNT, TS])
-    out = flag(tx.drop("is_new_beneficiary"), first_transfers(tx), "is_new_beneficiary")
+    tables = [(per_instant, [ACCOUNT, TS]), (prior_reports(tx), ["beneficiary_id_hash", TS]),
+              (peer_percentile(tx), ["peer_group_id", "_paise"]),
+              (shared_accounts(tx, "device_fingerprint_hash", "shared_device_accounts"), ["device_fingerprint_hash"])]
+    zero = ["shared_device_accounts"]
+    out = tx
+    if network:
+        out = store(with_graph_ids(tx), "with-ids")
+        tables += [(behavioural_drift(tx), [ACCOUNT, TS]), *network_columns(out, store)]
+        zero += ["shared_ip_accounts", "second_hop_sar_count"]
+    out = flag(out.drop("is_new_beneficiary"), first_transfers(tx), "is_new_beneficiary")
     out = flag(out.drop("is_dormant_account"), before_gap(tx, ACCOUNT, TS, ID, 90 * DAY), "is_dormant_account")
     out = out.withColumn("_paise", paise().cast("bigint"))
-    for table, keys in (
-        (per_instant, [ACCOUNT, TS]),
-        (prior_reports(tx), ["beneficiary_id_hash", TS]),
-        (peer_percentile(tx), ["peer_group_id", "_paise"]),
-        (shared_accounts(tx, "device_fingerprint_hash", "shared_device_accounts"), ["device_fingerprint_hash"]),
-    ):
+    for table, keys in tables:
         out = store(with_instants(out, table, keys), "enriched")
-    return out.withColumn("shared_device_accounts", F.coalesce("shared_device_accounts", F.lit(0))).select(*tx.columns)
+    if rates is not None:
+        out = store(usd_equivalent(out.drop("amount_usd_equiv"), rates), "enriched")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero}).select(*columns)

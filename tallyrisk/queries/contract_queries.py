@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contract, features
+from ..operators import contract, features, graph
 from ..session import materialize
 from ..sources import sample_view
 from .base import query, round_sql, rounded, tidy, tx, with_tx
 from .feature_queries import feature_sql
+from .graph_queries import graph_tx, with_graph
 
 A, T, B = "account_id_hash", "transaction_dt", "beneficiary_id_hash"
 
@@ -124,13 +125,23 @@ def _peer(spark, sf_dir):
 
 
 @query("contract_shared_device_accounts", with_tx(
-    f"select transaction_id, (select count(distinct {A}) - 1 from tx t2 where t2.device_fingerprint_hash = tx.device_fingerprint_hash) "
-    "as shared_device_accounts from tx where device_fingerprint_hash is not null", "transaction_id", A, "device_fingerprint_hash"))
+    f"select transaction_id, coalesce(n, 0) as shared_device_accounts from tx left join (select device_fingerprint_hash as d, "
+    f"count(distinct {A}) - 1 as n from tx where device_fingerprint_hash is not null group by 1) as k on device_fingerprint_hash = d",
+    "transaction_id", A, "device_fingerprint_hash"))
 def _shared(spark, sf_dir):
-    df = tx(spark, sf_dir).select("transaction_id", A, "device_fingerprint_hash").where("device_fingerprint_hash is not null")
+    df = tx(spark, sf_dir).select("transaction_id", A, "device_fingerprint_hash")
     shared = contract.shared_accounts(df, "device_fingerprint_hash", "shared_device_accounts")
     out = contract.with_instants(df, shared, ["device_fingerprint_hash"])
-    return tidy(out.select("transaction_id", "shared_device_accounts"))
+    return tidy(out.select("transaction_id", F.coalesce("shared_device_accounts", F.lit(0)).alias("shared_device_accounts")))
+
+
+@query("contract_shared_ip_accounts", with_graph(
+    "select transaction_id, n as shared_ip_accounts from g join (select ip_node_id as i, count(distinct account_id_hash) - 1 as n "
+    "from g group by 1) as k on ip_node_id = i", []))
+def _shared_ip(spark, sf_dir):
+    df = graph_tx(spark, sf_dir).select("transaction_id", A, "ip_node_id")
+    shared = contract.shared_accounts(df, "ip_node_id", "shared_ip_accounts")
+    return tidy(contract.with_instants(df, shared, ["ip_node_id"]).select("transaction_id", "shared_ip_accounts"))
 
 
 _SAR = "(label_source = 'CONFIRMED_SAR' and label_is_fraud = 1)::int"
@@ -209,8 +220,7 @@ def _usd(spark, sf_dir):
         F.struct(F.lit(n).alias("currency"), F.lit(k).alias("k")) for n, k in (("INR", 0.0), ("USD", 3.0))])))
     rates = rates.select("c.currency", "rate_ts", (level + F.col("c.k")).alias("rate"))
     df = tx(spark, sf_dir).select("transaction_id", "currency", "amount_inr", T)
-    last = df.agg(F.max(T)).first()[0]
-    return tidy(contract.usd_equivalent(df, rates, F.lit(last)).select("transaction_id", "amount_usd_equiv"), 4)
+    return tidy(contract.usd_equivalent(df, rates).select("transaction_id", "amount_usd_equiv"), 4)
 
 
 _AGG = f"""select *, percent_rank() over (partition by peer_group_id order by amount_inr) * 100 as pp, {VELOCITY_SQL},
@@ -231,4 +241,31 @@ _ENRICHED = f""", en as materialized (select w.* replace (pp as peer_amount_perc
 @query("contract_enriched_features", with_tx(_ENRICHED + feature_sql(source="en")))
 def _enriched(spark, sf_dir):
     df = materialize(tx(spark, sf_dir), "transactions")
-    return tidy(features.transform(contract.enrich(df), ["transaction_id"]))
+    return tidy(features.transform(contract.enrich(df, network=False), ["transaction_id"]))
+
+
+# every column of the network from the finished table, against the queries of the single operators
+@query("contract_enriched_network", "select * from (" + " union all ".join(
+    f"select '{name}' as \"column\", 0::bigint as differing" for name in (
+        "behavioural_drift_score", "originator_graph_centrality", "rapid_fan_out_flag", "second_hop_sar_count", "shared_ip_accounts")) + ") as q")
+def _network(spark, sf_dir):
+    """Rows on which the finished table and the single operators (checked by SQL themselves) differ."""
+    df = materialize(tx(spark, sf_dir), "transactions")
+    whole = materialize(contract.enrich(df), "enriched")
+    ids = graph.with_graph_ids(df)
+    pairs = materialize(contract.undirected(df), "pairs")
+    directed = materialize(df.select(F.col(A).alias("a"), F.col(B).alias("b")).distinct(), "directed")
+    single = [("behavioural_drift_score", contract.behavioural_drift(df), [A, T]),
+              ("originator_graph_centrality", contract.pagerank(directed, store=materialize).withColumnRenamed("node_id", A), [A]),
+              ("rapid_fan_out_flag", contract.rapid_fan_out(df), [A, T]),
+              ("second_hop_sar_count", contract.second_hop_reports(pairs, contract.account_reports(df)).withColumnRenamed("node_id", A), [A]),
+              ("shared_ip_accounts", ids.join(contract.shared_accounts(ids, "ip_node_id", "n"), "ip_node_id").select(
+                  "transaction_id", F.col("n").alias("shared_ip_accounts")), ["transaction_id"])]
+    out = None
+    for name, table, keys in single:
+        met = whole.select(*keys, F.col(name).cast("double").alias("got")).join(
+            table.select(*keys, F.col(name).cast("double").alias("want")).distinct(), keys, "left")
+        off = met.agg(F.count_if(F.abs(F.col("got") - F.coalesce("want", F.lit(0.0))) > 1e-9).alias("differing")).select(
+            F.lit(name).alias("column"), "differing")
+        out = off if out is None else out.unionByName(off)
+    return out
