@@ -1,7 +1,7 @@
 """Times the main stages on one stored transaction table and prints one JSON line.
 
 BENCH_SF_DIR names the input folder, BENCH_CPUS the local cores, BENCH_TREES the number of
-boosted trees (20 unless set; the library default is 120).
+boosted trees (120 unless set, the library default).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from tallyrisk.session import fresh_path, local_session, materialize  # noqa: E4
 from tallyrisk.sources import sample_view  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-TREES = int(os.environ.get("BENCH_TREES", "20"))
+TREES = int(os.environ.get("BENCH_TREES", "120"))
 
 
 def run(df: DataFrame) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import haversine_km
 from ..session import materialize
 from .graph import with_graph_ids
-from .skew import spread_join
+from .skew import heavy_keys, spread_join
 from .timeline import (DAY, HOUR, MICROS, TILE_SECONDS, before_gap, previous_instant, rolling_distinct, rolling_sums,
                        running_totals, time_tile)
 
@@ -209,10 +209,11 @@ def pagerank(pairs: DataFrame, iterations: int = 5, damping: float = 0.85, store
     nodes = store(nodes.join(degree, "node_id", "left"), "nodes")
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    busy = store(heavy_keys(pairs, ["a"]), "busy")
     for step in range(1, iterations + 1):
         senders = ranks.where("out is not null").select(
             F.col("node_id").alias("a"), (F.col("rank") / F.col("out")).alias("give"))
-        got = spread_join(pairs, senders, ["a"], F.col("b"), how="inner").groupBy(
+        got = spread_join(pairs, senders, ["a"], F.col("b"), how="inner", heavy=busy).groupBy(
             F.col("b").alias("node_id")).agg(F.sum("give").alias("got"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         ranks = nodes.join(got, "node_id", "left").crossJoin(F.broadcast(lost)).select(  # one row

@@ -56,14 +56,15 @@ def standardize(nodes: DataFrame, statistics: DataFrame,
     return both.select("node_id", *scaled)
 
 
-def neighbour_mean(edges: DataFrame, vectors: DataFrame, columns: Sequence[str], prefix: str = "n_") -> DataFrame:
+def neighbour_mean(edges: DataFrame, vectors: DataFrame, columns: Sequence[str], prefix: str = "n_",
+                   heavy: DataFrame | None = None) -> DataFrame:
     """Per node the mean of its senders' vectors; nodes without messages get zeros.
 
     A sender with very many messages is cut into slices for the join; receivers are averaged
-    with partial sums before the shuffle.
+    with partial sums before the shuffle. `heavy` holds the busy senders, if they are known.
     """
     senders = vectors.select(F.col("node_id").alias("src_node_id"), *columns)
-    sent = spread_join(edges, senders, ["src_node_id"], F.col("dst_node_id"), how="inner")
+    sent = spread_join(edges, senders, ["src_node_id"], F.col("dst_node_id"), how="inner", heavy=heavy)
     means = sent.groupBy(F.col("dst_node_id").alias("node_id")).agg(
         *[F.avg(c).alias(f"{prefix}{c}") for c in columns])
     return vectors.join(means, "node_id", "left").fillna(0.0, [f"{prefix}{c}" for c in columns])

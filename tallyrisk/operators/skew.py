@@ -7,28 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROWS_PER_TASK = 2_000_000
+MOST_KEYS = 10_000
+
+
+def heavy_keys(left: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more rows than one task should hold, and in how many slices to cut them.
+
+    A key is heavy above `rows_per_task` rows, or above a ten-thousandth of the table where that is
+    more: there are never more than MOST_KEYS of them, which bounds what a join broadcasts.
+    """
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))  # one row
+    limit = F.greatest(F.lit(rows_per_task), F.col("_all") / MOST_KEYS)
+    return counts.crossJoin(F.broadcast(total)).where(F.col("_n") > limit).select(
+        *keys, F.ceil(F.col("_n") / limit).cast("int").alias("_slices"))
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_on: Column,
-                how: str = "left", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                how: str = "left", rows_per_task: int = ROWS_PER_TASK, heavy: DataFrame | None = None) -> DataFrame:
     """Join a large left side to a right side, cutting heavy left keys into slices.
 
-    A key is heavy when its left rows exceed `rows_per_task`; it gets as many slices as it
-    needs. Left rows pick a slice by hashing `spread_on`, and the right rows of that key are
-    repeated once per slice. Heavy keys number at most rows / rows_per_task, so the table
-    that names them is small whatever the data and may be broadcast. Rows without a key match
-    nothing and are spread out as well. No row is dropped.
+    Left rows of a heavy key pick a slice by hashing `spread_on`, and the right rows of that key
+    are repeated once per slice. Rows without a key match nothing and are spread out as well. No
+    row is dropped.
 
-    `left` is read twice, once for the key counts: where it is the result of a long plan,
-    store it first.
+    `left` is read twice, once for the key counts, unless `heavy` (from `heavy_keys`, stored) is
+    handed in: do so where the same table is joined again and again, and store a left side that is
+    the result of a long plan.
     """
     keys = list(keys)
-    heavy = (
-        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows_per_task)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_slices"))
-    )
-    heavy = F.broadcast(heavy)
+    heavy = F.broadcast(heavy_keys(left, keys, rows_per_task) if heavy is None else heavy)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     keyless = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
     salted = (

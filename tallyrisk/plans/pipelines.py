@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema
 from ..operators import explain, features, graph, inject, metrics, positions, propagate, quality
+from ..operators.skew import heavy_keys
 from ..session import fresh_path, materialize
 from ..sources import files
 from . import models
@@ -62,10 +63,11 @@ def hop_table(tables: dict[str, DataFrame], base: list[str], statistics: DataFra
     nodes = tables["account_nodes"]
     derived = tables["derived_account_edges"] if with_derived else None
     edges = materialize(propagate.message_edges(nodes, tables["account_account_edges"], derived), "messages")
+    busy = materialize(heavy_keys(edges, ["src_node_id"]), "busy")
     table = materialize(propagate.standardize(nodes, statistics, base), "vectors")
     current = list(base)
     for hop in range(1, hops + 1):
-        means = propagate.neighbour_mean(edges, table.select("node_id", *current), current)
+        means = propagate.neighbour_mean(edges, table.select("node_id", *current), current, heavy=busy)
         fresh = means.select("node_id", *[F.col(f"n_{c}").alias(f"hop{hop}_{b}") for c, b in zip(current, base)])
         table = materialize(table.join(fresh, "node_id"), f"hop{hop}")
         current = [f"hop{hop}_{c}" for c in base]
