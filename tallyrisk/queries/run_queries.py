@@ -150,14 +150,28 @@ def _prompts(spark, sf_dir):
 # ---- files ------------------------------------------------------------------------------
 
 
-@query("source_jsonl_records", "select count(*) as records, sum((doc_id % 6 <> 5)::int)::bigint as usable from documents")
+@query("source_jsonl_records", "select case doc_id % 6 when 0 then 'messages' when 1 then 'completion' when 2 then 'text' when 5 then null "
+       "else 'instruction' end as shape, coalesce(case when doc_id % 6 = 2 then text when doc_id % 6 = 1 then source end, '') as given, "
+       "count(*) as records from documents group by 1, 2")
 def _jsonl(spark, sf_dir):
     path = fresh_path(spark, "records")
     raw_records(spark, sf_dir).select("record").write.text(path)
     # Spark names its parts *.txt; the folder reader is given the same lines as .jsonl
     lines = files.require_valid(files.read_jsonl(spark, path))
     out = textdata.normalize_instruction(lines)
-    return out.agg(F.count(F.lit(1)).alias("records"), F.count("shape").alias("usable"))
+    return out.groupBy("shape", F.coalesce("text", "prompt", F.lit("")).alias("given")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("source_json_documents", "select doc_id, lang, text from documents")
+def _json_documents(spark, sf_dir):
+    """Whole-file JSON: every line of a written folder is wrapped into one list per file and read back."""
+    path = fresh_path(spark, "json-documents")
+    docs = sample_view.table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "lang", "text")).alias("record"))
+    listed = docs.withColumn("file", F.pmod(F.xxhash64("record"), F.lit(8))).groupBy("file").agg(
+        F.concat(F.lit('{"data":['), F.array_join(F.collect_list("record"), ","), F.lit("]}")).alias("value"))
+    listed.write.partitionBy("file").text(path)
+    rows = files.require_valid(files.read_json_documents(spark, path))
+    return rows.select(*[F.get_json_object("record", f"$.{k}").cast(t).alias(k) for k, t in (("doc_id", "long"), ("lang", "string"), ("text", "string"))])
 
 
 @query("source_transactions_csv", with_tx(
@@ -369,10 +383,10 @@ def _stream_velocity(spark, sf_dir):
     return tidy(streaming.closed_windows(result, F.lit(newest)), 4)
 
 
-@query("stream_first_pairs", "select count(*) as pairs from (select distinct user_id, event_type from events) as q")
+@query("stream_first_pairs", "select distinct user_id, event_type from events")
 def _stream_first(spark, sf_dir):
     out = streaming.first_pairs(_events(spark, sf_dir, "60 days"), "user_id", "event_type").select("user_id", "event_type")
-    return streaming.run_available(out, "stream-first").agg(F.count(F.lit(1)).alias("pairs"))
+    return streaming.run_available(out, "stream-first")
 
 
 @query("stream_after_silence", f"select event_id, {round_sql('gap', 3)} as silence_seconds from (select event_id, ts, "
@@ -386,13 +400,13 @@ def _stream_silence(spark, sf_dir):
 
 @query("stream_fan_out", "select c.user_id, c.event_id as credit_id, count(distinct p.event_type) as items from events c join events p "
        "on p.user_id = c.user_id and p.ts >= c.ts and p.ts <= c.ts + interval 12 hours where c.event_type = 'purchase' and p.event_type <> 'purchase' "
+       "and epoch_ms(c.ts + interval 12 hours) < (select epoch_ms(max(ts)) - 3600000 from events) "
        "group by 1, 2 having count(distinct p.event_type) >= 2")
 def _stream_fan_out(spark, sf_dir):
-    base = _events(spark, sf_dir)
-    credits = base.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("credit_id"), F.col("ts").alias("credited_at"))
-    pays = _events(spark, sf_dir).where("event_type <> 'purchase'").select("user_id", F.col("event_type").alias("item"), F.col("ts").alias("paid_at"))
-    joined = streaming.run_available(streaming.credit_then_payments(credits, pays, "user_id", "12 hours"), "stream-fan-out")
-    return streaming.dispersals(joined, "user_id", 2)
+    """Credits whose window the watermark has passed."""
+    out = streaming.dispersed_credits(_events(spark, sf_dir), "user_id", "ts", F.col("event_type") == "purchase", "event_id", "event_type",
+                                      12 * 3600, 2)
+    return streaming.run_available(out, "stream-fan-out")
 
 
 @query("stream_scoring", with_tx("select count(*) as \"rows\", 0::bigint as differing from tx", "transaction_id"))

@@ -76,18 +76,51 @@ def after_silence(stream: DataFrame, key: str, ts: str, row_id: str, gap_seconds
     return rows.groupBy(key).applyInPandasWithState(update, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def credit_then_payments(credits: DataFrame, payments: DataFrame, key: str, window: str) -> DataFrame:
-    """Payments within the window after a credit of the same key. Both sides carry a watermark,
-    so state older than the window is dropped."""
-    c, p = credits.alias("c"), payments.alias("p")
-    within = (F.col(f"c.{key}") == F.col(f"p.{key}")) & (F.col("p.paid_at") >= F.col("c.credited_at")) & (
-        F.col("p.paid_at") <= F.col("c.credited_at") + F.expr(f"interval {window}"))
-    return c.join(p, within).select(F.col(f"c.{key}").alias(key), "c.credit_id", "c.credited_at", "p.item", "p.paid_at")
-
-
-def dispersals(joined: DataFrame, key: str, at_least: int) -> DataFrame:
-    """Credits followed by enough distinct items, from the stored result of the interval join."""
-    return joined.groupBy(key, "credit_id").agg(F.count_distinct("item").alias("items")).where(F.col("items") >= at_least)
+def dispersed_credits(stream: DataFrame, key: str, ts: str, credit: Column, row_id: str, item: str,
+                      window_seconds: int, at_least: int) -> DataFrame:
+    """Credits that are followed by enough distinct items within the window (both ends included).
+
+    `stream` carries a watermark; rows where `credit` holds are credits, all others payments. A credit
+    is judged once the watermark has passed its window. Credits and payments are not paired up: for
+    the credits of a key, in order, two pointers move over its payments and keep a count per item.
+    The state holds the credits that still wait and the payments they may need."""
+    types = {f.name: f.dataType for f in stream.schema.fields}
+    out = T.StructType([T.StructField(key, types[key]), T.StructField("credit_id", types[row_id]), T.StructField("items", T.LongType())])
+    state_type = T.StructType([T.StructField("credits", T.StringType()), T.StructField("payments", T.StringType())])
+    span = window_seconds * 1_000_000
+
+    def update(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        credits, payments = (json.loads(x) for x in state.get) if state.exists else ([], [])
+        if not state.hasTimedOut:
+            for batch in batches:
+                for at, i, what, is_credit in zip(batch["_at"], batch[row_id], batch[item], batch["_credit"]):
+                    (credits if is_credit else payments).append([int(at), (i.item() if hasattr(i, "item") else i) if is_credit else what])
+        passed = state.getCurrentWatermarkMs()
+        credits.sort()
+        payments.sort()
+        ready = [c for c in credits if (c[0] + span) // 1000 < passed]
+        found, held, low, high = [], {}, 0, 0
+        for at, i in ready:
+            while high < len(payments) and payments[high][0] <= at + span:
+                held[payments[high][1]] = held.get(payments[high][1], 0) + 1
+                high += 1
+            while low < high and payments[low][0] < at:
+                held[payments[low][1]] -= 1
+                if not held[payments[low][1]]:
+                    del held[payments[low][1]]
+                low += 1
+            if len(held) >= at_least:
+                found.append((group[0], i, len(held)))
+        credits = credits[len(ready):]
+        # a credit still to come is no older than the watermark
+        needed = min([c[0] for c in credits[:1]] + [passed * 1000])
+        state.update((json.dumps(credits), json.dumps([p for p in payments if p[0] >= needed])))
+        if credits:
+            state.setTimeoutTimestamp(max((credits[0][0] + span) // 1000 + 1, passed + 1))
+        yield pd.DataFrame(found, columns=[key, "credit_id", "items"])
+
+    rows = stream.select(key, row_id, item, ts, F.unix_micros(ts).alias("_at"), F.coalesce(credit, F.lit(False)).alias("_credit"))
+    return rows.groupBy(key).applyInPandasWithState(update, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
