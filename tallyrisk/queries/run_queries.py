@@ -167,7 +167,8 @@ def _json_documents(spark, sf_dir):
     """Whole-file JSON: every line of a written folder is wrapped into one list per file and read back."""
     path = fresh_path(spark, "json-documents")
     docs = sample_view.table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "lang", "text")).alias("record"))
-    listed = docs.withColumn("file", F.pmod(F.xxhash64("record"), F.lit(8))).groupBy("file").agg(
+    files_wanted = F.lit(max(1, docs.count() // 200))  # about 200 documents each, whatever the table
+    listed = docs.withColumn("file", F.pmod(F.xxhash64("record"), files_wanted)).groupBy("file").agg(
         F.concat(F.lit('{"data":['), F.array_join(F.collect_list("record"), ","), F.lit("]}")).alias("value"))
     listed.write.partitionBy("file").text(path)
     rows = files.require_valid(files.read_json_documents(spark, path))
