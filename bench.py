@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F  # noqa: E402
 from tallyrisk import schema  # noqa: E402
 from tallyrisk.operators import contract, features, inject, metrics, positions, quality  # noqa: E402
 from tallyrisk.plans import pipelines  # noqa: E402
-from tallyrisk.session import fresh_path, local_session, materialize  # noqa: E402
+from tallyrisk.session import clean_up, fresh_path, local_session, materialize  # noqa: E402
 from tallyrisk.sources import sample_view  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -60,6 +60,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "stage_seconds_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1], "rows": tx.count(), "features": len(schema.FEATURES)}))
+    clean_up(spark)
 
 
 if __name__ == "__main__":

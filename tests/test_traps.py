@@ -332,3 +332,10 @@ def test_silences_of_rows_out_of_order(spark, tmp_path):
     stream = streaming.event_time(streaming.stream_table(spark, str(tmp_path / "in"), max_files=1), "ts", "30 hours")
     out = streaming.run_available(streaming.after_silence(stream, "k", "ts", "id", 9 * 3600), "silences")
     assert sorted((r.id, r.silence_seconds / 3600) for r in out.collect()) == [("e10", 10.0), ("e20", 10.0)]
+
+
+def test_tables_lie_in_the_run_folder(spark):
+    from tallyrisk import session
+
+    stored = session.materialize(spark.range(3), "ids")
+    assert stored.count() == 3 and session.run_folder(spark) in stored.inputFiles()[0].replace("file://", "").replace("file:", "")
