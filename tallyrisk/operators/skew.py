@@ -10,15 +10,16 @@ ROWS_PER_TASK = 2_000_000
 MOST_KEYS = 10_000
 
 
-def heavy_keys(left: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def heavy_keys(left: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK,
+               most_keys: int = MOST_KEYS) -> DataFrame:
     """Keys with more rows than one task should hold, and in how many slices to cut them.
 
-    A key is heavy above `rows_per_task` rows, or above a ten-thousandth of the table where that is
-    more: there are never more than MOST_KEYS of them, which bounds what a join broadcasts.
+    A key is heavy above `rows_per_task` rows, or above a `most_keys`-th of the table where that is
+    more: there are never more than `most_keys` of them, which bounds what a join broadcasts.
     """
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"))  # one row
-    limit = F.greatest(F.lit(rows_per_task), F.col("_all") / MOST_KEYS)
+    limit = F.greatest(F.lit(rows_per_task), F.col("_all") / most_keys)
     return counts.crossJoin(F.broadcast(total)).where(F.col("_n") > limit).select(
         *keys, F.ceil(F.col("_n") / limit).cast("int").alias("_slices"))
 

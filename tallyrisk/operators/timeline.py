@@ -12,11 +12,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .skew import heavy_keys
+
 MICROS = 1_000_000
 HOUR, DAY = 3600, 86400
 # Five minutes: an account with 10^10 rows a year has about 10^5 rows in a tile, and a year has
 # about 10^5 tiles, so neither step meets a large group.
 TILE_SECONDS = 300
+KEY_ROWS = 100_000
+KEY_LIMIT = 100_000  # at most so many keys are cut, which bounds the table that names them
 
 
 def running_totals(events: DataFrame, keys: list[str], tile: Column, order: list[str],
@@ -25,8 +29,13 @@ def running_totals(events: DataFrame, keys: list[str], tile: Column, order: list
 
     Events that tie on `order` are counted together. `tile` must not decrease along the
     order. With `whole=True`, `all_<m>` carries the sum over the key.
+
+    Only keys with more than `KEY_ROWS` events are cut into tiles; an ordinary key is one tile, so
+    the table of tile totals has about one row a key.
     """
-    events = events.withColumn("_tile", tile)
+    busy = F.broadcast(heavy_keys(events, keys, KEY_ROWS, KEY_LIMIT))
+    events = events.join(busy, keys, "left").withColumn(
+        "_tile", F.when(F.col("_slices").isNotNull(), tile).otherwise(F.lit(0)).cast("bigint")).drop("_slices")
     inside = Window.partitionBy(*keys, "_tile").orderBy(*order).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy(*keys).orderBy("_tile")

@@ -144,6 +144,14 @@ def test_null_keys_and_modes(spark, tx):
     assert one(modes).m == "a"
 
 
+def test_rolling_totals_are_the_same_with_and_without_tiles(spark, tx, monkeypatch):
+    from tallyrisk.operators import timeline
+
+    whole = sorted(contract.velocities(tx).collect(), key=str)
+    monkeypatch.setattr(timeline, "KEY_ROWS", 5)
+    assert sorted(contract.velocities(tx).collect(), key=str) == whole
+
+
 def test_spread_join_slices_heavy_and_missing_keys(spark):
     left = spark.range(1000).withColumn("k", F.when(F.col("id") < 700, "hot").when(F.col("id") < 900, F.lit(None)).otherwise(F.col("id").cast("string")))
     right = spark.createDataFrame([("hot", 1), ("950", 2)], "k string, v int")
