@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import schema
 from ..functions.scalars import clip, finite_or_zero, half_even
+from ..session import materialize
 from .skew import spread_join
 
 
@@ -131,9 +132,10 @@ def names(prefix: str, n: int) -> list[str]:
     return [f"{prefix}{i}" for i in range(n)]
 
 
-def embeddings(vectors: DataFrame, columns: Sequence[str], edges: DataFrame, model: dict) -> DataFrame:
-    """Two layers: node_id and e0 .. e{h-1}."""
-    hidden = sage_layer(vectors, columns, edges, model["layer1"], "h")
+def embeddings(vectors: DataFrame, columns: Sequence[str], edges: DataFrame, model: dict, store=materialize) -> DataFrame:
+    """Two layers: node_id and e0 .. e{h-1}. The first is stored: the second reads it twice."""
+    vectors = store(vectors.select("node_id", *columns), "vectors")
+    hidden = store(sage_layer(vectors, columns, edges, model["layer1"], "h"), "hidden")
     width = len(model["layer1"]["b_self"])
     return sage_layer(hidden, names("h", width), edges, model["layer2"], "e")
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import clip
 from .propagate import dense, names, relu
-from .skew import spread_join
+from ..session import materialize
+from .skew import heavy_keys, spread_join
 
 # relation -> (source type, target type)
 RELATIONS = {
@@ -212,23 +213,26 @@ def draw_order(seed: int, hop: int, src: str = "src_node_id", dst: str = "dst_no
 
 
 def sample_neighbours(edges: DataFrame, seeds: DataFrame, fan_out: Sequence[int] = FAN_OUT,
-                      seed: int = 42) -> DataFrame:
+                      seed: int = 42, store=materialize) -> DataFrame:
     """At most k senders per (target, relation) and hop, starting from the seed nodes.
 
     The draw is the order of a hash, so it is the same on every run and partitioning. The
-    rank filter runs per map task before the shuffle: a hub sends at most k rows per task.
+    rank filter runs per map task before the shuffle: a hub sends at most k rows per task. Each hop
+    is stored, as the next one starts from it; `edges` is a stored table.
     """
+    busy = store(heavy_keys(edges, ["dst_type", "dst_node_id"]), "busy")
     frontier = seeds.select(F.col("node_type").alias("dst_type"), F.col("node_id").alias("dst_node_id")).distinct()
     hops = []
     for hop, k in enumerate(fan_out, start=1):
         both = F.concat_ws("|", "src_node_id", "dst_node_id")
-        reached = spread_join(edges, frontier, ["dst_type", "dst_node_id"], both, how="inner")
+        reached = spread_join(edges, frontier, ["dst_type", "dst_node_id"], both, how="inner", heavy=busy)
         order = Window.partitionBy("dst_type", "dst_node_id", "relation").orderBy("_draw", "src_node_id")
         drawn = (
             reached.withColumn("_draw", draw_order(seed, hop))
             .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
             .select(F.lit(hop).alias("hop"), "relation", "src_type", "dst_type", "src_node_id", "dst_node_id")
         )
+        drawn = store(drawn, "hop")
         hops.append(drawn)
         frontier = drawn.select(F.col("src_type").alias("dst_type"), F.col("src_node_id").alias("dst_node_id")).distinct()
     out = hops[0]
