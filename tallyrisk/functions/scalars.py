@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .. import schema
+
 
 def clip(value: Column, low: float, high: float) -> Column:
     """Bound a value; NULL stays NULL (greatest/least alone would swallow it)."""
@@ -70,3 +72,14 @@ def literal_lookup(key: Column, table: dict, default) -> Column:
     for k, v in table.items():
         out = F.when(key == F.lit(k), F.lit(v)) if out is None else out.when(key == F.lit(k), F.lit(v))
     return out.otherwise(F.lit(default))
+
+
+def typology_code(name: Column) -> Column:
+    """Position of a typology in the contract's list; NULL for an unknown one."""
+    at = F.array_position(F.array(*[F.lit(t) for t in schema.TYPOLOGIES]), name)
+    return F.when(at > 0, (at - 1).cast("int"))
+
+
+def typology_name(code: Column) -> Column:
+    """The typology at a position; NULL outside the list."""
+    return F.get(F.array(*[F.lit(t) for t in schema.TYPOLOGIES]), code)

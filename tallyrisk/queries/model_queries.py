@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.scalars import typology_code, typology_name
 from ..operators import explain, features, metrics, positions
 from ..sources import sample_view
 from ..session import materialize
@@ -245,3 +246,11 @@ def _temporal_defective(spark, sf_dir):
     """Rows without an id or a label, and repeated ids, are split like all others."""
     marked = positions.temporal_split(materialize(defective(spark, sf_dir), "transactions"), fetch=100)
     return tidy(marked.groupBy("split", "label_is_fraud").agg(F.count(F.lit(1)).alias("rows")))
+
+
+@query("typology_codes", with_tx("select transaction_id, label_typology, list_position(["
+       + ", ".join(f"'{t}'" for t in schema.TYPOLOGIES) + "], label_typology)::bigint - 1 as code from tx", "transaction_id", "label_typology"))
+def _typologies(spark, sf_dir):
+    """Name to number and back; the name comes from the number."""
+    coded = tx(spark, sf_dir).select("transaction_id", typology_code(F.col("label_typology")).alias("code"))
+    return tidy(coded.withColumn("label_typology", typology_name(F.col("code"))))
