@@ -75,7 +75,8 @@ def write_archive(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, m
     archive = str(uuid.uuid4())
     rows = pages.select("page_id", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A").alias("url"),
                         F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", base32(F.sha1("payload")))
+    # one digest per row, in hexadecimal; the base32 form is made from it where a header is written
+    rows = rows.withColumn("digest", F.sha1("payload"))
     types = store(record_types(rows, min_bytes), "record_types").withColumnsRenamed({"page_id": "_p", "digest": "_d"})
     typed = rows.join(types, rows["page_id"].eqNullSafe(F.col("_p")) & (rows["digest"] == F.col("_d")), "left")
     revisit = ~F.col("page_id").eqNullSafe(F.col("first"))
@@ -100,7 +101,7 @@ def write_archive(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, m
         _field("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         _field("WARC-Target-URI", F.coalesce("url", F.concat(F.lit("urn:page:"), own))),
         _field("WARC-Page-ID", F.col("page_id")),
-        _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
+        _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
         _field("WARC-Refers-To", F.when(F.col("revisit"), _urn(F.lit(archive), F.col("first").cast("string"), "digest"))),
         _field("WARC-Profile", F.when(F.col("revisit"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         _field("WARC-Segment-Number", F.when(segmented, F.col("number") + 1)),
