@@ -203,30 +203,44 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> Da
 
 
 def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """For distinct fingerprints with their smallest doc_id (print, doc_id): print, component_id."""
+    """For distinct fingerprints with their smallest doc_id (print, doc_id): print, root (one of the
+    fingerprints of the class) and component_id."""
     roots = components(links(prints.select("print"), distance))
     named = prints.join(roots.withColumnRenamed("vertex", "print"), "print", "left").withColumn(
         "root", F.coalesce("root", "print"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "root").select("print", "component_id")
+    return named.join(smallest, "root").select("print", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One row per row of `docs`: doc_id, print, component_id."""
-    printed = store(with_fingerprint(docs.select("doc_id", "text"), "print").drop("text"), "fingerprints")
+def _printed(docs: DataFrame) -> DataFrame:
+    """doc_id, print and digest, which tells rows of one doc_id apart by their text."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    return store(with_fingerprint(rows, "print").drop("text"), "fingerprints")
+
+
+def _classed(printed: DataFrame, distance: int) -> DataFrame:
     prints = store(printed.groupBy("print").agg(F.min("doc_id").alias("doc_id")), "prints")
     return printed.join(store(classes(prints, distance), "classes"), "print")
 
 
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One row per row of `docs`: doc_id, print, component_id."""
+    return _classed(_printed(docs), distance).select("doc_id", "print", "component_id")
+
+
 def unique_rows(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One row of each class, the one with the smallest doc_id, with the columns of `docs`."""
-    at, mark = free_name(docs, "_print"), free_name(docs, "_class")
-    printed = store(with_fingerprint(docs, at), "printed")
-    prints = store(printed.groupBy(F.col(at).alias("print")).agg(F.min("doc_id").alias("doc_id")), "prints")
-    classed = store(classes(prints, distance), "classes")
-    # the first fingerprint among those of a class that hold its smallest doc_id
-    chosen = prints.join(classed, "print").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = chosen.groupBy("doc_id", F.when(F.col("component_id").isNull(), F.col("print")).alias("own")).agg(
-        F.min("print").alias(at)).select(at, F.col("doc_id").alias(mark))
-    kept = printed.join(chosen, [at]).where(F.col("doc_id").eqNullSafe(F.col(mark)))
-    return kept.dropDuplicates([at]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each class, the one with the smallest doc_id, with the columns of `docs`.
+
+    Texts are shuffled once, for the join with the rows chosen; fingerprints travel without them.
+    """
+    printed = _printed(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")).alias("f")
+    chosen = _classed(printed, distance).groupBy("root").agg(first).select(
+        F.col("f.doc_id").alias("_d"), F.col("f.digest").alias("_h"))
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_semi")
+    repeated = printed.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept
+    # rows equal in doc_id and text: one of them stays
+    mark = free_name(docs, "_digest")
+    return kept.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
