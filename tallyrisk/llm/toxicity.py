@@ -2,15 +2,16 @@
 
 A toxic and an ordinary bigram model give each word of a text a log-likelihood under either
 class. Bigrams back off to how many different words a word follows within the class, and that to
-counts shared by both classes, which are taken over all documents; so a word neither class knows
-says nothing, and one seen by chance says little. The score rests on the difference of the two
+counts shared by both classes, which are taken over all documents. What the discount frees, and a
+prior of some sightings, goes to the lower order, so a rare expression says little and a word neither class knows
+says nothing. Words and pairs seen once are in the models. The score rests on the difference of the two
 log-likelihoods per word of the text: its mean, its mean above `mild`, and the share of words over
 `strong`, so that a few telling words are not lost in a long text. A logistic function of the three
 is fitted on labelled rows that the models did not see.
 
 The models are fitted on a sample of the labelled rows of about `sample_bytes` of text per class
-(all rows if there is less), which bounds their size and lets them be broadcast. Everything else
-runs over all rows.
+(all rows if there is less), which bounds their size and lets them be broadcast: words that only
+other labelled rows hold are unknown to the models. Everything else runs over all rows.
 
 Labelled rows whose crc32(doc_id) mod 5 is 0 are never learned from; remainders 1 to 3 feed the
 models, 4 the logistic function.
@@ -28,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,6 +39,7 @@ from .common import store
 FOLDS = 5
 CLASSES = ("ordinary", "toxic")
 FEATURES = ("whole", "above", "strong")
+TASK_WORDS = 500_000  # counted in a task before they are handed on
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -47,7 +50,7 @@ class Settings:
     sample_bytes: int = 12_000_000
     sample_rows: int = 200_000
     discount: float = 0.75
-    min_docs: int = 3
+    prior: float = 1.0  # sightings that the lower order is worth
     mild: float = 1.5  # differences in nats
     strong: float = 3.0
 
@@ -62,12 +65,12 @@ def remainder(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """Two bigram models over one list of words; index 0 is ordinary, 1 is toxic."""
+    """Two bigram models over one list of words; index 0 is ordinary, 1 is toxic. Likelihoods are
+    relative to counts that both classes share, which cancel out of the difference."""
     words: list[bytes]
-    single: np.ndarray  # (2, words + 1), the last entry is any other word
-    backoff: np.ndarray  # (2, words + 1), weight of the lower order after a word
+    single: np.ndarray  # the difference each word makes, the last entry is any other word
     pairs: np.ndarray  # sorted codes first * (words + 1) + second
-    seen: np.ndarray  # (2, pairs), discounted share of the pair after its first word
+    seen: np.ndarray  # the difference each pair makes
     places: dict[bytes, int] = field(default_factory=dict)
 
     def differences(self, words: list[bytes]) -> np.ndarray:
@@ -77,14 +80,14 @@ class Model:
         other = len(self.words)
         ids = np.fromiter((self.places.get(w, other) for w in words), np.int64, len(words))
         before = np.concatenate(([other], ids[:-1]))
-        chance = self.backoff[:, before] * self.single[:, ids]
+        found = self.single[ids]
         known = np.flatnonzero((ids < other) & (before < other))
         if len(known) and len(self.pairs):
             codes = before[known] * (other + 1) + ids[known]
             at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
             hit = self.pairs[at] == codes
-            chance[:, known[hit]] += self.seen[:, at[hit]]
-        return np.log(chance[1]) - np.log(chance[0])
+            found[known[hit]] = self.seen[at[hit]]
+        return found
 
 
 def evidence(model: Model, text: str | None, settings: Settings) -> tuple[float, float, float]:
@@ -115,7 +118,7 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """toxic, first, second, docs: in how many sampled texts of a class a pair occurs."""
+    """first, second, ordinary, toxic: in how many sampled texts of each class a pair occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, first, second = [], [], []
@@ -130,66 +133,70 @@ def _counts(sample: DataFrame) -> DataFrame:
                 names=["toxic", "first", "second"])
 
     pairs = sample.mapInArrow(run, "toxic int, first binary, second binary")
-    return pairs.groupBy("toxic", "first", "second").agg(F.count(F.lit(1)).alias("docs"))
+    return pairs.groupBy("first", "second").agg(*[F.count_if(F.col("toxic") == c).alias(name) for c, name in enumerate(CLASSES)])
 
 
-def _corpus_counts(docs: DataFrame, words: list[bytes]) -> tuple[dict[bytes, int], int]:
-    """How often each word of the models, and any word, occurs in all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(words))
-
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """word, n: how often each word occurs in all documents, whether a model knows it or not."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
-        total, wanted = 0, sent.value
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
+                                              names=["word", "n"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = words_of(text)
-                total += len(found)
-                for word in found:
-                    if word in wanted:
-                        counts[word] = counts.get(word, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.binary()), pa.array([*counts.values(), total], pa.int64())],
-                                         names=["word", "n"])
+                for word in words_of(text):
+                    counts[word] = counts.get(word, 0) + 1
+                if len(counts) > TASK_WORDS:
+                    yield rows()
+                    counts.clear()
+        yield rows()
 
-    rows = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    found = {None if r["word"] is None else bytes(r["word"]): r["n"] for r in rows}  # no more than the models' words
-    total = found.pop(None, 0)
-    return found, total
+    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """The two models. The driver holds pairs of words of the bounded sample."""
+    """The two models. The driver holds words and pairs of the bounded sample; the counts of all
+    words of the corpus stay a table."""
     counts = store(_counts(store(_sample(docs, labels, settings), "sample")), "pair_counts")
-    followers = counts.groupBy("toxic", F.col("second").alias("word")).agg(
-        F.count(F.lit(1)).alias("after"), F.sum("docs").alias("docs"))
-    kept_words = followers.groupBy("word").agg(F.max("docs").alias("most")).where(F.col("most") >= settings.min_docs)
-    words = sorted(bytes(r["word"]) for r in kept_words.select("word").collect())
-    place = {w: i for i, w in enumerate(words)}
-    other, d = len(words), settings.discount
-    shared, total = _corpus_counts(docs, words)
-    base = np.array([shared.get(w, 0) + 1 for w in words] + [1], dtype=float) / (total + other + 1)
-    single, backoff = np.zeros((2, other + 1)), np.ones((2, other + 1))
-    sums = {r["toxic"]: r for r in followers.groupBy("toxic").agg(
-        F.sum("after").alias("all"), F.count(F.lit(1)).alias("types")).collect()}
-    for c in (0, 1):
-        n = sums[c]["all"] if c in sums else 0
-        single[c] = base * (d * sums[c]["types"] / n if n else 1.0)
-        for r in followers.where(F.col("toxic") == c).join(kept_words, "word").select("word", "after").collect():
-            single[c, place[bytes(r["word"])]] += max(r["after"] - d, 0) / n
-    known = kept_words.select(F.col("word").alias("first"))
-    after = counts.join(known, "first").groupBy("toxic", "first").agg(F.sum("docs").alias("n"), F.count(F.lit(1)).alias("types"))
-    whole = np.zeros((2, other + 1))
-    for r in after.collect():
-        i = place[bytes(r["first"])]
-        whole[r["toxic"], i] = r["n"]
-        backoff[r["toxic"], i] = d * r["types"] / r["n"]
-    inside = counts.join(known, "first").join(kept_words.select(F.col("word").alias("second")), "second")
-    often = inside.where(F.col("docs") >= 2).select("toxic", "first", "second", "docs").collect()
-    codes = np.array([place[bytes(r["first"])] * (other + 1) + place[bytes(r["second"])] for r in often], dtype=np.int64)
-    pairs = np.unique(codes)
-    seen = np.zeros((2, len(pairs)))
-    for r, code in zip(often, np.searchsorted(pairs, codes)):
-        seen[r["toxic"], code] = (r["docs"] - d) / whole[r["toxic"], place[bytes(r["first"])]]
-    return Model(words, single, backoff, pairs, seen)
+    corpus = store(corpus_counts(docs), "corpus_counts")
+    size = corpus.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).head()
+    sides = [F.col(c) for c in CLASSES]
+    after = counts.groupBy(F.col("second").alias("word")).agg(*[F.count_if(n > 0).alias(f"after{c}") for c, n in enumerate(sides)])
+    before = counts.groupBy(F.col("first").alias("word")).agg(*[F.sum(n).alias(f"whole{c}") for c, n in enumerate(sides)])
+    rows = after.join(before, "word", "left").join(corpus, "word", "left").toArrow().sort_by("word")
+    both = lambda name: np.array([rows[f"{name}{c}"].fill_null(0).to_numpy() for c in (0, 1)], dtype=float)
+    other, follows, whole = len(rows), both("after"), both("whole")
+    shared = (rows["n"].fill_null(0).to_numpy() + 1.0) / ((size["n"] or 0) + size["types"] + 1)
+    single = np.ones((2, other + 1))  # a word neither class knows is equally likely in both
+    single[:, :other] = _times(follows, follows.sum(axis=1, keepdims=True) * shared, 1.0, settings)
+    words = rows["word"].combine_chunks()
+    del rows
+    found = counts.where(F.octet_length("first") > 0).toArrow()
+    codes, pair, at = np.empty(len(found), np.int64), np.empty(len(found), np.float32), 0
+    for batch in found.to_batches(max_chunksize=100_000):  # the working arrays stay small
+        first, second = (pc.index_in(batch[x], words).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("first", "second"))
+        here = slice(at, at := at + len(batch))
+        codes[here] = first * (other + 1) + second
+        docs_of = np.array([batch[c].to_numpy(zero_copy_only=False) for c in CLASSES], dtype=float)
+        share = docs_of.sum(axis=0) / np.maximum(whole[:, first].sum(axis=0), 1)
+        pair[here] = _difference(_times(docs_of, whole[:, first] * share, single[:, second], settings))
+    del found
+    order = np.argsort(codes)
+    return Model(words.to_pylist(), _difference(single), codes[order], pair[order])
+
+
+def _difference(chance: np.ndarray) -> np.ndarray:
+    return np.log(chance[1]) - np.log(chance[0])
+
+
+def _times(seen: np.ndarray, expected: np.ndarray, lower: np.ndarray | float, settings: Settings) -> np.ndarray:
+    """How many times likelier than expected in each class: discounted counts, the discount and
+    `prior` sightings going to the lower order."""
+    freed = settings.prior + settings.discount * (seen > 0)
+    return (np.maximum(seen - settings.discount, 0) + freed * lower) / (expected + settings.prior)
 
 
 def _weights(rows: DataFrame) -> tuple[list[float], float]:

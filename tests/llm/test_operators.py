@@ -323,6 +323,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(traps(spark, EDGE).limit(0), table).count() == 0
 
 
+def test_toxicity_of_words_seen_once(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(30))) for i in range(400)] + [(1000, "never heard of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fits = {r["doc_id"] for r in docs.where(toxicity.remainder(F.col("doc_id")).isin(1, 2, 3)).collect()}
+    one = min(fits)  # the only text with the word, and labelled toxic
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == one, F.concat("text", F.lit(" snarf"))).otherwise(F.col("text")))
+    labels = spark.createDataFrame([(i, int(i == one or i % 4 == 0)) for i, _ in rows[:-1]], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.differences([b"snarf"])[0] > 0.5
+    assert model.differences([b"never"])[0] == 0 and model.differences([b"not", b"there"]).tolist() == [0, 0]
+    last = [w for i, t in rows if i == one for w in t.encode().split()][-1]
+    assert model.differences([last, b"snarf"])[1] > model.differences([b"there", b"snarf"])[1]  # the pair counts too
+    counts = {bytes(r["word"]): r["n"] for r in toxicity.corpus_counts(docs).collect()}
+    assert counts[b"never"] == 1 and counts[b"snarf"] == 1 and sum(counts.values()) == sum(len(t.split()) for _, t in rows) + 1
+
+
 # --- licences
 
 def test_licenses(spark):
