@@ -11,8 +11,9 @@ the entity's own frequency, in at least `support` different surroundings. All oc
 a word become spans of the kind "term", except inside base spans.
 
 Words are what white space separates, lower-cased and without punctuation at the ends, of four
-characters or more, with a letter. Counts cover all rows. Words to be counted, and disclosing
-words, are looked up in blocks of at most `block` words, one pass over the texts each.
+characters or more, with a letter. Counts cover all rows; a task hands them on when it has `block`
+words. Disclosing words stay a table that is joined to the words of the texts (told apart by a
+64-bit hash); the driver sees only a bit map of fixed size.
 
 Defined results: null and empty texts have no spans; repeated rows each get theirs (copies do not
 add to the support, which counts different surroundings); an empty table gives an empty table.
@@ -25,6 +26,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -33,6 +35,7 @@ from .common import free_name, store
 
 KINDS = ("email", "ip", "card", "phone", "term")
 BASE = 4
+BITS = 1 << 26
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -145,35 +148,66 @@ def _mentions(docs: DataFrame, reach: int) -> DataFrame:
         "task", F.spark_partition_id())
 
 
-def _terms_in(text: str, wanted: set[str]) -> set[str]:
-    return {t for token in set(text.split()) if (t := term_of(token)) in wanted}
+def _terms(text: str) -> set[str]:
+    return {t for token in set(text.split()) if (t := term_of(token))}
 
 
-def _row_counts(docs: DataFrame, words: list[str]) -> DataFrame:
-    """term, rows: in how many rows each of the words occurs."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(words))
-
+def _row_counts(docs: DataFrame, block: int) -> DataFrame:
+    """term, rows: in how many rows each word occurs; a task hands its counts on when it has `block` words."""
     def run(batches):
         counts: dict[str, int] = {}
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                                              names=["term", "rows"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for term in _terms_in(text or "", sent.value):
+                for term in _terms(text or ""):
                     counts[term] = counts.get(term, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                                         names=["term", "rows"])
+                if len(counts) > block:
+                    yield rows()
+                    counts.clear()
+        yield rows()
+
+    return docs.select("text").mapInArrow(run, "term string, rows long").groupBy("term").agg(F.sum("rows").alias("rows"))
+
+
+def _bit(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term) % BITS
+
+
+def _bit_map(terms: DataFrame) -> bytes:
+    """A map of fixed size that has the bit of every term."""
+    def run(batches):
+        bits = bytearray(BITS // 8)
+        for batch in batches:
+            for term in batch.column(0).to_pylist():
+                bits[(at := _bit(term)) >> 3] |= 1 << (at & 7)
+        yield pa.RecordBatch.from_arrays([pa.array([bytes(bits)], pa.binary())], names=["bits"])
+
+    found = np.zeros(BITS // 8, np.uint8)
+    for r in terms.select("term").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        found |= np.frombuffer(r["bits"], np.uint8)
+    return found.tobytes()
 
-    found = docs.select("text").mapInArrow(run, "term string, rows long")
-    return found.groupBy("term").agg(F.sum("rows").alias("rows"))
 
+def _hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """_digest, _terms: the disclosing terms of each different text that has any. The bit map keeps most
+    other words out of the join; what passes it by chance finds no term there."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(terms))
+
+    def run(batches):
+        for batch in batches:
+            bits, digests, found = sent.value, [], []
+            for digest, text in zip(*(c.to_pylist() for c in batch.columns)):
+                here = [t for t in _terms(text or "") if bits[(at := _bit(t)) >> 3] >> (at & 7) & 1]
+                digests += [digest] * len(here)
+                found += here
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(found, pa.string())], names=["_digest", "term"])
 
-def _blocks(words: DataFrame, block: int) -> Iterator[list[str]]:
-    """The words of a one-column table in lists of at most `block`, dealt by hash."""
-    n = words.count()
-    parts = -(-n // max(block // 2, 1))
-    for part in range(parts):
-        rows = words.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).collect()
-        if rows:
-            yield [r["term"] for r in rows]
+    passed = docs.select(F.xxhash64("text"), "text").mapInArrow(run, "_digest long, term string")
+    return passed.join(terms, "term").groupBy("_digest").agg(F.collect_set("term").alias("_terms"))
 
 
 def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
@@ -183,12 +217,7 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFr
         F.count_distinct("task", "row").alias("together"), F.count_distinct("place").alias("support"))
     together = store(together.where(F.col("support") >= rule.support), "together")
     entities = mentions.groupBy("entity").agg(F.count_distinct("task", "row").alias("entity_rows"))
-    counts = None
-    for words in _blocks(together.select("term").distinct(), rule.block):
-        part = store(_row_counts(docs, words), "term_rows")
-        counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        return together.select("term", "entity", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits")).limit(0)
+    counts = _row_counts(docs, rule.block)
     total = F.lit(max(docs.count(), 1))
     shares = together.join(counts, "term").join(entities, "entity").select(
         "term", "entity", (F.col("together") / F.col("rows")).alias("share"), "entity_rows")
@@ -197,7 +226,7 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFr
 
 
 def term_spans(text: str, wanted: set[str], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    if not wanted or not _terms_in(text, wanted):
+    if not wanted:
         return []
     starts, ends = [], []  # base spans as disjoint runs
     for start, end in sorted((s, e) for _, s, e in base):
@@ -232,27 +261,28 @@ def with_spans(docs: DataFrame, into: str, rule: Disclosure = Disclosure(), rewr
                text: str = "text") -> DataFrame:
     """Add all spans (kind, start, end) of the whole text; with `rewrite` also replace them in the text."""
     plain = docs.select(F.col(text).alias("text"))
-    terms = disclosing_terms(plain, rule).select("term").distinct()
+    hits = store(_hits(plain, store(disclosing_terms(plain, rule).select("term").distinct(), "terms")), "term_hits")
     at, names = docs.columns.index(text), [*docs.columns, into]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = docs.select("*", F.expr("cast(null as array<struct<kind: string, start: bigint, end: bigint>>)").alias(into)).schema
-    blocks = [docs.sparkSession.sparkContext.broadcast(frozenset(b)) for b in _blocks(terms, rule.block)]
+    digest, held = free_name(docs, "_digest"), free_name(docs, "_terms")
+    hits = hits.withColumnsRenamed({"_digest": digest, "_terms": held})
+    rows = docs.withColumn(digest, F.xxhash64(F.col(text))).join(hits, digest, "left").select(*[F.col(f"`{c}`") for c in docs.columns], held)
 
     def run(batches):
         for batch in batches:
             spans, texts = [], []
-            for value in batch.column(at).to_pylist():
+            for value, wanted in zip(batch.column(at).to_pylist(), batch.column(len(names) - 1).to_pylist()):
                 found = base_spans(value or "")
-                extra = [s for b in blocks for s in term_spans(value or "", b.value, found)]
-                found += sorted(extra)
+                found += term_spans(value or "", set(wanted or ()), found)
                 spans.append([{"kind": KINDS[k], "start": s, "end": e} for k, s, e in found])
                 texts.append(sanitised(value, found) if rewrite and found else value)
-            columns = [*batch.columns]
+            columns = list(batch.columns[:-1])
             if rewrite:
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def sanitised_rows(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:

@@ -161,6 +161,18 @@ def test_personal_data(spark):
     assert pii.sanitised_rows(docs.limit(0)).count() == 0
 
 
+def test_terms_stay_a_table(spark, monkeypatch):
+    rows = [(i, f"{prose(300 + i, 6)} Person{i // 4}x wrote p{i // 4}@example.org on {prose(400 + i, 6)}") for i in range(160)]
+    rows += [(1000 + i, f"ask person{i}x") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    collected, plain = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(df.columns) or plain(df))
+    found = pii.with_spans(docs, "spans", pii.Disclosure(block=10))
+    assert not any("term" in c for c in collected)
+    spans = {r["doc_id"]: [r["text"][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in plain(found)}
+    assert spans == {i: [f"Person{i // 4}x"] if i < 1000 else [f"person{i - 1000}x"] for i, _ in rows}
+
+
 # --- packing
 
 def test_plan_covers_the_counts():
