@@ -8,7 +8,7 @@ Hosts are vertices. Edges are links in the pages' html to another host, weighted
 and, with weight `family`, a host and its nearest parent domain that has pages itself, both ways.
 Trust is the personalised PageRank that starts at the pages allowed by rules; distrust is the same
 on reversed edges, from the pages blocked by rules: who links to a blocked host is suspect. Both
-add up to one over all hosts. A host whose distrust is over `margin` times its trust is blocked,
+add up to one over all hosts. Rounds go on until the change over all hosts is under `enough`. A host whose distrust is over `margin` times its trust is blocked,
 for all pages that no rule fits.
 
 Defined results: a null url, or one without `://`, has an empty host and path and is allowed
@@ -19,6 +19,7 @@ an empty table.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ class Propagation:
     damping: float = 0.85
     margin: float = 2.0
     family: float = 1.0
-    rounds: int = 30
+    rounds: int | None = None  # a fixed number, for comparisons; else until the change is under `enough`
     enough: float = 1e-6
 
 
@@ -102,7 +103,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, rule: Propagation = Propagatio
     state = store(start.withColumns({"trust": F.col("st"), "distrust": F.col("sb")}), "hosts")
     edges = store(edges, "edges")
     d = rule.damping
-    for _ in range(rule.rounds):
+    # a round shrinks the change by the damping at least, so the end is certain
+    for _ in itertools.count() if rule.rounds is None else range(rule.rounds):
         lost = state.agg(F.sum(F.when(F.col("out").isNull(), F.col("trust"))).alias("t"),
                          F.sum(F.when(F.col("into").isNull(), F.col("distrust"))).alias("b")).head()
         source = state.select(F.col("host").alias("src"), (F.col("trust") / F.col("out")).alias("each"))

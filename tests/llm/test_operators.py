@@ -397,3 +397,12 @@ def test_propagation(spark):
     distrust = brute.propagate({h: n[1] / 5 for h, n in seeds.items()}, {(d, s): w for (s, d), w in edges.items()}, rule.damping, 6)
     for h in trust:
         assert got[h] == pytest.approx((trust[h], distrust[h]))
+
+
+def test_propagation_reaches_the_end_of_a_chain(spark):
+    n = 34  # more links than the 30 rounds there once were
+    edges = [(f"h{i:02}", f"h{i + 1:02}", 1.0) for i in range(n)]
+    seeds = spark.createDataFrame([("h00", 1, 0)], "host string, allowed long, blocked long")
+    got = {r["host"]: r["trust"] for r in url_filter.propagate(
+        seeds, spark.createDataFrame(edges, "src string, dst string, weight double").coalesce(1), url_filter.Propagation(damping=0.6, enough=1e-8)).collect()}
+    assert got[f"h{n}"] > 0
