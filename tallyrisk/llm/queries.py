@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
+from . import decontaminate, licenses, line_dedup, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,26 @@ from doc_rows left join per_row using (rid)"""
 def op7_license_scan(spark, sf_dir):
     found = licenses.scan(table(spark, sf_dir, "documents"), licenses.templates_table(spark))
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_templates")
+
+
+_LINE_DEDUP_SQL = f"""with doc_lines as (
+  select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+lines as (
+  select rid, doc_id, i, ls[i] as line,
+    translate(trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select *, unnest(range(1, len(ls) + 1)) as i from doc_lines)),
+frequent as (
+  select k, max(doc_id) as keep from lines where length(k) >= {line_dedup.Rule.min_chars}
+  group by k having count(distinct doc_id) >= {line_dedup.Rule.min_docs}),
+judged as (select rid, doc_id, i, line, keep is not null and doc_id <> keep as gone from lines left join frequent using (k))
+select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, (count(*) filter (gone))::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from judged group by rid"""
+
+
+@query("op13_line_dedup", _LINE_DEDUP_SQL)
+def op13_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.deduplicated(docs, "n_lines", "n_dropped")
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
