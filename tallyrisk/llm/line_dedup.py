@@ -186,7 +186,7 @@ def _rewritten(rows: DataFrame, text: str, lines: str, dropped: str, keys: str,
                 texts.append(b"\n".join(left))
                 counts.append(len(all_lines) - len(left))
             columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.binary()).cast(columns[at].type)
+            columns[at] = pa.array(texts, pa.binary()).cast(columns[at].type, safe=False)
             yield pa.RecordBatch.from_arrays([*(columns[i] for i in kept), pa.array(counts, pa.int64())], names=[*names, dropped])
 
     return rows.mapInArrow(run, shape)
