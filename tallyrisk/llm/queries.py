@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, line_dedup, packing, periodic_runs, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
+from . import (decontaminate, licenses, line_dedup, packing, periodic_runs, pii, quality_rules, simhash, spelling, suffix_dedup,
+               toxicity, url_filter, warc)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,3 +271,23 @@ def op11_periodic_runs(spark, sf_dir):
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"), F.col("top.l").alias("length"),
         (-F.col("top.p")).alias("period"), F.expr("1000 * top.l div -top.p").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
+def planted_deletion(doc_id: int | None) -> Callable[[str], str]:
+    """Deletes a code point from one word in 31 of a document; a null doc_id counts as empty text."""
+    start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+
+    def change(word: str) -> str:
+        h = zlib.crc32(word.encode(), start)
+        if h % 31:
+            return word
+        at = h % len(word)
+        return word[:at] + word[at + 1:]
+
+    return change
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    found = spelling.groups(table(spark, sf_dir, "documents"), prepare=planted_deletion)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
