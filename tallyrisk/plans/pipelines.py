@@ -122,13 +122,10 @@ def train_transactions(tx: DataFrame, params: dict | None = None, candidates: li
 def score_and_explain(tx: DataFrame, model: models.TreeModel, k: int = 10) -> DataFrame:
     """Published score columns, graph findings and ranked contributions per transaction; one row
     per row of `tx`, carried through without a join."""
-    path = fresh_path(tx.sparkSession, "model")
-    model.save(path)
     with_findings = tx.withColumn("gnn_findings", features.graph_findings(tx))
     table = features.transform(with_findings, ["transaction_id", "gnn_findings"])
     scored = materialize(model.score(table, ["transaction_id", "gnn_findings"]), "scores")
-    shares = models.path_contributions(scored, path, model.features,
-                                       ["transaction_id", "gnn_findings", "raw_probability", "probability"])
+    shares = models.tree_contributions(scored, model, ["transaction_id", "gnn_findings", "raw_probability", "probability"])
     names = F.array(*[F.lit(f) for f in model.features])
     items = F.transform(F.arrays_zip(names.alias("f"), F.col("inputs").alias("v"), F.col("amounts").alias("c")), lambda x: F.struct(
         x["f"].alias("feature"), x["v"].alias("value"), x["c"].alias("contribution")))

@@ -334,7 +334,7 @@ def _explained(spark, sf_dir):
     model = models.TreeModel.load(path)
     out = pipelines.score_and_explain(df, model, k=len(model.features))
     total = F.aggregate("top_contributors", F.col("model_bias"), lambda a, x: a + x["contribution"])
-    chance = 1 / (1 + F.exp(-2 * total))
+    chance = 1 / (1 + F.exp(-total))
     p = F.col("probability")
     return tidy(out.select(
         "transaction_id", (F.abs(chance - F.col("raw_model_probability")) < 1e-4).alias("adds_up"),
