@@ -12,7 +12,7 @@ from ..functions.scalars import haversine_km
 from ..session import materialize
 from .graph import with_graph_ids
 from .skew import heavy_keys, spread_join
-from .timeline import (DAY, HOUR, MICROS, TILE_SECONDS, before_gap, previous_instant, rolling_distinct, rolling_sums,
+from .timeline import (DAY, HOUR, MICROS, TILE_SECONDS, after_gap, previous_instant, rolling_distinct, rolling_sums,
                        running_totals, time_tile)
 
 ACCOUNT, TS, ID = "account_id_hash", "transaction_dt", "transaction_id"
@@ -60,24 +60,33 @@ def failed_authentications(events: DataFrame, user: str, ts: str, failed: Column
     return out.withColumnRenamed("n_7d", "failed_auth_count_7d")
 
 
-def first_transfers(tx: DataFrame) -> DataFrame:
-    """Ids of the first transfer of each (account, beneficiary)."""
-    first = F.min(F.struct(TS, ID)).alias("f")
-    return tx.groupBy(ACCOUNT, "beneficiary_id_hash").agg(first).select(F.col(f"f.{ID}").alias(ID))
+def _marked(tx: DataFrame, found: DataFrame, keys: list[str], name: str, busy: DataFrame | None = None) -> DataFrame:
+    """Adds whether the row is the one that `found` (keys, at, id; one row per key) names. Rows are
+    compared, not ids: repeated ids stay apart, and rows without an id can be found too. Rows equal in key,
+    instant and id are one transfer, and rows without a key are none."""
+    rest = found.select(*keys, F.col("at").alias("_at"), F.col(ID).alias("_id"))
+    joined = spread_join(tx, rest, keys, F.xxhash64(ID, TS), "left", heavy=busy)
+    same = (F.unix_micros(TS) == F.col("_at")) & F.col(ID).eqNullSafe(F.col("_id"))
+    return joined.withColumn(name, F.coalesce(same, F.lit(False))).drop("_at", "_id")
 
 
-def flag(tx: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """True for the rows whose id is listed; ids are unique, so the join has no heavy key."""
-    return tx.join(ids.withColumn(name, F.lit(True)), ID, "left").withColumn(
-        name, F.coalesce(F.col(name), F.lit(False)))
+def first_transfers(tx: DataFrame) -> DataFrame:
+    """account, beneficiary, at, id of the first transfer of each pair."""
+    pair = [ACCOUNT, "beneficiary_id_hash"]
+    whole = tx.where(F.col(pair[0]).isNotNull() & F.col(pair[1]).isNotNull() & F.col(TS).isNotNull())
+    first = F.min(F.struct(F.unix_micros(TS).alias("at"), F.col(ID).isNull().alias("none"), F.col(ID)))
+    return whole.groupBy(*pair).agg(first.alias("f")).select(*pair, "f.at", F.col(f"f.{ID}").alias(ID))
 
 
 def new_beneficiary(tx: DataFrame) -> DataFrame:
-    return flag(tx.drop("is_new_beneficiary"), first_transfers(tx), "is_new_beneficiary")
+    """The first transfer of an account to a beneficiary. `tx` is read three times: store a long plan first."""
+    return _marked(tx.drop("is_new_beneficiary"), first_transfers(tx), [ACCOUNT, "beneficiary_id_hash"], "is_new_beneficiary")
 
 
 def dormant_account(tx: DataFrame, days: int = 90) -> DataFrame:
-    return flag(tx.drop("is_dormant_account"), before_gap(tx, ACCOUNT, TS, ID, days * DAY), "is_dormant_account")
+    """The first transfer of an account after a silence of `days`, found by account and instant."""
+    found = after_gap(tx, ACCOUNT, TS, ID, days * DAY).withColumn(TS, F.timestamp_micros("at").cast(tx.schema[TS].dataType))
+    return _marked(tx.drop("is_dormant_account"), found, [ACCOUNT, TS], "is_dormant_account")
 
 
 def login_distance(tx: DataFrame, key: str, ts: str, lat: str, lon: str) -> DataFrame:
@@ -289,8 +298,8 @@ def enrich(tx: DataFrame, store=materialize, network: bool = True, rates: DataFr
         out = store(with_graph_ids(tx), "with-ids")
         tables += [(behavioural_drift(tx), [ACCOUNT, TS]), *network_columns(out, store)]
         zero += ["shared_ip_accounts", "second_hop_sar_count"]
-    out = flag(out.drop("is_new_beneficiary"), first_transfers(tx), "is_new_beneficiary")
-    out = flag(out.drop("is_dormant_account"), before_gap(tx, ACCOUNT, TS, ID, 90 * DAY), "is_dormant_account")
+    out = store(new_beneficiary(out), "enriched")
+    out = store(dormant_account(out), "enriched")
     out = out.withColumn("_paise", paise().cast("bigint"))
     for table, keys in tables:
         out = store(with_instants(out, table, keys), "enriched")

@@ -155,18 +155,25 @@ def previous_instant(instants: DataFrame, key: str, at: str, payload: list[str],
         *instants.columns, F.col("_f.at").alias("prev_at"), *[F.col(f"_f.{p}").alias(f"prev_{p}") for p in payload])
 
 
-def before_gap(rows: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int) -> DataFrame:
-    """Ids of rows that follow a silence longer than the gap.
+def after_gap(rows: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int) -> DataFrame:
+    """key, at (microseconds), row_id of the rows that follow a silence longer than the gap; of rows of one instant
+    the one with the smallest id, none last. Rows without a key or an instant follow nothing.
 
     In a tile as wide as the gap only the first row can follow such a silence, so one row per
     (key, tile) is compared with the tile before it.
     """
     width = gap_seconds * MICROS
     tiles = (
-        rows.select(key, row_id, F.unix_micros(ts).alias("_at"))
+        rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+        .select(key, row_id, F.unix_micros(ts).alias("_at"))
         .groupBy(key, whole_tiles(F.col("_at"), width).alias("_tile"))
-        .agg(F.min(F.struct("_at", row_id)).alias("_first"), F.max("_at").alias("_last"))
+        .agg(F.min(F.struct("_at", F.col(row_id).isNull().alias("_none"), row_id)).alias("_first"), F.max("_at").alias("_last"))
     )
     silence = F.col("_first._at") - F.lag("_last").over(Window.partitionBy(key).orderBy("_tile"))
     return tiles.withColumn("_silence", silence).where(F.col("_silence") > width).select(
-        F.col(f"_first.{row_id}").alias(row_id))
+        key, F.col("_first._at").alias("at"), F.col(f"_first.{row_id}").alias(row_id))
+
+
+def before_gap(rows: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int) -> DataFrame:
+    """Ids of rows that follow a silence longer than the gap."""
+    return after_gap(rows, key, ts, row_id, gap_seconds).select(row_id)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import contract, features, graph
 from ..session import materialize
 from ..sources import sample_view
+from .quality_queries import _bad as bad_rows, defective
 from .base import query, round_sql, rounded, tidy, tx, with_tx
 from .feature_queries import feature_sql
 from .graph_queries import graph_tx, with_graph
@@ -87,6 +88,24 @@ def _dormant(spark, sf_dir):
     return contract.dormant_account(tx(spark, sf_dir)).select("transaction_id", "is_dormant_account")
 
 
+@query("contract_new_beneficiary_defective", bad_rows(
+    f"select transaction_id, {A}, {B}, epoch_us({T}) as at, {A} is not null and {B} is not null and {T} is not null and dense_rank() over "
+    f"(partition by {A}, {B} order by {T}, transaction_id) = 1 as is_new_beneficiary from bad"))
+def _new_defective(spark, sf_dir):
+    """Rows without an id and with a repeated one: each is judged by itself, and none is lost or doubled."""
+    rows = contract.new_beneficiary(materialize(defective(spark, sf_dir), "transactions"))
+    return rows.select("transaction_id", A, B, F.unix_micros(T).alias("at"), "is_new_beneficiary")
+
+
+@query("contract_dormant_account_defective", bad_rows(
+    f"select transaction_id, {A}, instant, coalesce({A} is not null and first_row = 1 and instant - earlier > 90 * 86400000000, false) as is_dormant_account from ("
+    f"select transaction_id, {A}, epoch_us({T}) as instant, dense_rank() over (partition by {A}, {T} order by transaction_id) as first_row, "
+    f"max(epoch_us({T})) over (partition by {A} order by epoch_us({T}) range between unbounded preceding and 1 preceding) as earlier from bad) as q"))
+def _dormant_defective(spark, sf_dir):
+    rows = contract.dormant_account(materialize(defective(spark, sf_dir), "transactions"))
+    return rows.select("transaction_id", A, F.unix_micros(T).alias("instant"), "is_dormant_account")
+
+
 _PLACE = "((hash8 % 1200) / 10e0 - 60)", "((hash8 // 1200 % 3400) / 10e0 - 170)"
 
 
