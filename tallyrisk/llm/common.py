@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize
@@ -30,6 +34,41 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, upper, upper.lower())
 
 
+PAGE = 1 << 16
+
+
+def bit_map(values: DataFrame, bit: Callable[[str], int], bits: int) -> bytearray:
+    """A map of `bits` bits with the bit of every value of the one string column. Bits are made different and
+    packed into pages of 8 KB in Spark; the driver gets only pages that have any."""
+    def numbers(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            found = np.unique(np.array([bit(v) % bits for v in batch.column(0).to_pylist()], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found // PAGE), pa.array(found % PAGE)], names=["page", "place"])
+
+    def packed(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            out = []
+            for places in batch.column(1).to_pylist():
+                page = np.zeros(PAGE, np.uint8)
+                page[places] = 1
+                out.append(np.packbits(page, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["page", "bits"])
+
+    pages = values.mapInArrow(numbers, "page long, place long").groupBy("page").agg(F.collect_set("place").alias("places"))
+    found = bytearray(max(bits, PAGE) // 8)
+    for row in store(pages.mapInArrow(packed, "page long, bits binary"), "bits").toLocalIterator():
+        found[row["page"] * PAGE // 8:(row["page"] + 1) * PAGE // 8] = row["bits"]
+    return found
+
+
+def map_bits(values: int, least: int = PAGE, most: int = 1 << 26, each: int = 64) -> int:
+    """A power of two of about `each` bits per value, at most 8 MB; a fuller map only lets more pass."""
+    bits = least
+    while bits < min(values * each, most):
+        bits *= 2
+    return bits
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): vertex, root, one row per vertex with a link.
 

@@ -4,38 +4,43 @@ Base kinds, leftmost and non-overlapping per kind, offsets in code points: email
 (16 to 19 digits with a valid check digit) and phone (8 to 15 digits).
 
 Terms: the values of the base kinds are the protected entities. For every entity and every word
-near it the corpus gives how often they stand together (rows), how often the word stands anywhere
-(rows) and how often the entity does. A word is disclosing if, for some entity, seeing the word
-means the entity in at least `share` of all rows with the word, that is `bits` or more bits above
-the entity's own frequency, in at least `support` different surroundings. All occurrences of such
-a word become spans of the kind "term", except inside base spans.
-
-Words are what white space separates, lower-cased and without punctuation at the ends, of four
-characters or more, with a letter. Counts cover all rows; a task hands them on when it has `block`
-words. Disclosing words stay a table that is joined to the words of the texts (told apart by a
-64-bit hash); the driver sees only a bit map of fixed size.
-
-Defined results: null and empty texts have no spans; repeated rows each get theirs (copies do not
-add to the support, which counts different surroundings); an empty table gives an empty table.
+near it (`reach` words either side of a mention) the corpus gives how often they stand together
+(rows), how often the word stands anywhere (rows) and how often the entity does. A word is disclosing
+if, for some entity, at least `share` of all rows with the word have the entity near it, and if it
+raises the chance of the entity by `bits` bits or more. The second must not be luck: if the chance of
+the entity in a row with the word were only 2^bits times its share of all rows, then what was seen would
+have a probability of at most `doubt`. That is the binomial tail, by its Chernoff bound, which is exact
+where every row with the word has the entity. What counts as seen are different surroundings, so copies of a
+document are no evidence. There is no least length, kind or number: in a large corpus one or
+two surroundings are enough, in a small one they are not. All occurrences of a disclosing word become spans
+of the kind "term", except inside base spans.
+
+Words are what white space separates, lower-cased and without punctuation at the ends. Counts cover
+all rows; a task hands them on when it has `block` words. Words near mentions, and disclosing words,
+stay tables that are joined to the words of the texts; the driver sees only a bit map of them, of 64 bits
+a word and 8 MB at most, and a fuller map only lets more words reach the join.
+
+Defined results: null and empty texts have no spans; repeated rows each get theirs; a term that is
+disclosing for several entities is one span; long texts are taken whole, in time linear in their length;
+extra columns are kept, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free_name, store
+from .common import bit_map, free_name, map_bits, store
 
 KINDS = ("email", "ip", "card", "phone", "term")
 BASE = 4
-BITS = 1 << 26
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -52,7 +57,7 @@ class Disclosure:
     reach: int = 8
     share: float = 0.8
     bits: float = 4.0
-    support: int = 3
+    doubt: float = 0.05
     block: int = 200_000
 
 
@@ -65,7 +70,9 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         if domain:
             done = domain.end()
             yield start, done
-        at = text.find("@", max(at + 1, done))
+        else:
+            done = max(done, at + 1)  # what stands before an @ is not part of a later name
+        at = text.find("@", done)
 
 
 def _luhn(digits: str) -> bool:
@@ -97,8 +104,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def term_of(token: str) -> str | None:
-    term = token.strip(_EDGES).lower()
-    return term if len(term) >= 4 and any(c.isalpha() for c in term) else None
+    return token.strip(_EDGES).lower() or None
 
 
 def _contexts(text: str, reach: int) -> set[tuple[int, str, int]]:
@@ -152,10 +158,23 @@ def _terms(text: str) -> set[str]:
     return {t for token in set(text.split()) if (t := term_of(token))}
 
 
-def _row_counts(docs: DataFrame, block: int) -> DataFrame:
-    """term, rows: in how many rows each word occurs; a task hands its counts on when it has `block` words."""
+def _bit(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term)
+
+
+def _sent(docs: DataFrame, terms: DataFrame):
+    """The bit map of a table of terms as a broadcast value, and its number of bits."""
+    bits = map_bits(terms.count())
+    return docs.sparkSession.sparkContext.broadcast(bytes(bit_map(terms.select("term"), _bit, bits))), bits
+
+
+def _row_counts(docs: DataFrame, terms: DataFrame, block: int) -> DataFrame:
+    """term, rows: in how many rows each of the terms occurs; a task hands its counts on when it has `block` words."""
+    sent, bits = _sent(docs, terms)
+
     def run(batches):
         counts: dict[str, int] = {}
+        held = sent.value
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
@@ -164,65 +183,62 @@ def _row_counts(docs: DataFrame, block: int) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for term in _terms(text or ""):
-                    counts[term] = counts.get(term, 0) + 1
+                    if held[(at := _bit(term) % bits) >> 3] >> (at & 7) & 1:
+                        counts[term] = counts.get(term, 0) + 1
                 if len(counts) > block:
                     yield rows()
                     counts.clear()
         yield rows()
 
-    return docs.select("text").mapInArrow(run, "term string, rows long").groupBy("term").agg(F.sum("rows").alias("rows"))
-
-
-def _bit(term: str) -> int:
-    return xxhash.xxh3_64_intdigest(term) % BITS
-
-
-def _bit_map(terms: DataFrame) -> bytes:
-    """A map of fixed size that has the bit of every term."""
-    def run(batches):
-        bits = bytearray(BITS // 8)
-        for batch in batches:
-            for term in batch.column(0).to_pylist():
-                bits[(at := _bit(term)) >> 3] |= 1 << (at & 7)
-        yield pa.RecordBatch.from_arrays([pa.array([bytes(bits)], pa.binary())], names=["bits"])
-
-    found = np.zeros(BITS // 8, np.uint8)
-    for r in terms.select("term").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        found |= np.frombuffer(r["bits"], np.uint8)
-    return found.tobytes()
+    counted = docs.select("text").mapInArrow(run, "term string, rows long").groupBy("term").agg(F.sum("rows").alias("rows"))
+    out = store(counted.join(terms, "term", "left_semi"), "term_rows")
+    sent.destroy()
+    return out
 
 
 def _hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """_digest, _terms: the disclosing terms of each different text that has any. The bit map keeps most
     other words out of the join; what passes it by chance finds no term there."""
-    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(terms))
+    sent, bits = _sent(docs, terms)
 
     def run(batches):
+        held = sent.value
         for batch in batches:
-            bits, digests, found = sent.value, [], []
+            digests, found = [], []
             for digest, text in zip(*(c.to_pylist() for c in batch.columns)):
-                here = [t for t in _terms(text or "") if bits[(at := _bit(t)) >> 3] >> (at & 7) & 1]
+                here = [t for t in _terms(text or "") if held[(at := _bit(t) % bits) >> 3] >> (at & 7) & 1]
                 digests += [digest] * len(here)
                 found += here
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(found, pa.string())], names=["_digest", "term"])
 
     passed = docs.select(F.xxhash64("text"), "text").mapInArrow(run, "_digest long, term string")
-    return passed.join(terms, "term").groupBy("_digest").agg(F.collect_set("term").alias("_terms"))
+    out = store(passed.join(terms, "term").groupBy("_digest").agg(F.collect_set("term").alias("_terms")), "term_hits")
+    sent.destroy()
+    return out
 
 
-def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
-    """term, entity, share and bits of the terms over the threshold."""
+def measured_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
+    """term, entity, together, places (different surroundings), rows, entity_rows, total of every word near an entity."""
     mentions = store(_mentions(docs, rule.reach), "mentions")
     together = mentions.groupBy("entity", "term").agg(
-        F.count_distinct("task", "row").alias("together"), F.count_distinct("place").alias("support"))
-    together = store(together.where(F.col("support") >= rule.support), "together")
+        F.count_distinct("task", "row").alias("together"), F.count_distinct("place").alias("places"))
     entities = mentions.groupBy("entity").agg(F.count_distinct("task", "row").alias("entity_rows"))
-    counts = _row_counts(docs, rule.block)
-    total = F.lit(max(docs.count(), 1))
-    shares = together.join(counts, "term").join(entities, "entity").select(
-        "term", "entity", (F.col("together") / F.col("rows")).alias("share"), "entity_rows")
-    shares = shares.withColumn("bits", F.log2(F.col("share") * total / F.col("entity_rows"))).drop("entity_rows")
-    return store(shares.where((F.col("share") >= rule.share) & (F.col("bits") >= rule.bits)), "disclosing")
+    counts = _row_counts(docs, store(mentions.select("term").distinct(), "near_terms"), rule.block)
+    return together.join(counts, "term").join(entities, "entity").withColumn("total", F.lit(docs.count()))
+
+
+def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
+    """The measures, share and bits of the words over the thresholds."""
+    found = measured_terms(docs, rule)
+    share = F.col("together") / F.col("rows")
+    lucky = F.lit(2.0 ** rule.bits) * F.col("entity_rows") / F.col("total")
+    # of the surroundings with the word, k of n have the entity; n times the divergence of k / n from luck
+    n = F.ceil(F.col("places") / share)
+    part = F.col("places") / n
+    apart = part * F.ln(part / lucky) + F.when(part < 1, (1 - part) * F.ln((1 - part) / (1 - lucky))).otherwise(0.0)
+    found = found.where((share >= rule.share) & (lucky < part)).withColumns(
+        {"share": share, "bits": F.log2(share * F.col("total") / F.col("entity_rows")), "_evidence": n * apart})
+    return store(found.where(F.col("_evidence") >= math.log(1 / rule.doubt) - 1e-12).drop("_evidence"), "disclosing")
 
 
 def term_spans(text: str, wanted: set[str], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -261,7 +277,7 @@ def with_spans(docs: DataFrame, into: str, rule: Disclosure = Disclosure(), rewr
                text: str = "text") -> DataFrame:
     """Add all spans (kind, start, end) of the whole text; with `rewrite` also replace them in the text."""
     plain = docs.select(F.col(text).alias("text"))
-    hits = store(_hits(plain, store(disclosing_terms(plain, rule).select("term").distinct(), "terms")), "term_hits")
+    hits = _hits(plain, store(disclosing_terms(plain, rule).select("term").distinct(), "terms"))
     at, names = docs.columns.index(text), [*docs.columns, into]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = docs.select("*", F.expr("cast(null as array<struct<kind: string, start: bigint, end: bigint>>)").alias(into)).schema

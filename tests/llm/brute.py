@@ -175,3 +175,56 @@ def propagate(seeds, edges, damping, rounds):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+EDGES = ".,;:!?()[]{}<>\"'*#$%&|"
+
+
+def term_measures(rows, reach=8):
+    """(entity, term): together, places, rows, entity rows, number of rows; by plain loops over all rows."""
+    together, places, held, entity_rows = {}, {}, {}, {}
+    for n, (_, text) in enumerate(rows):
+        text = text or ""
+        tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        term = lambda k: text[tokens[k][0]:tokens[k][1]].strip(EDGES).lower()  # noqa: E731, B023
+        for t in {term(k) for k in range(len(tokens))} - {""}:
+            held.setdefault(t, set()).add(n)
+        spans = personal(text)
+        covered = {k for k, (a, b) in enumerate(tokens) if any(s < b and a < e for _, s, e in spans)}
+        for kind, start, end in spans:
+            value = f"{kind}:{text[start:end].lower()}"
+            entity_rows.setdefault(value, set()).add(n)
+            first = next(k for k, (a, b) in enumerate(tokens) if b > start)
+            last = next((k for k, (a, b) in enumerate(tokens) if a >= end), len(tokens))
+            near = [k for k in (*range(max(first - reach, 0), first), *range(last, min(last + reach, len(tokens)))) if k not in covered]
+            words = [w for k in near if (w := term(k))]
+            for w in words:
+                together.setdefault((value, w), set()).add(n)
+                places.setdefault((value, w), set()).add(" ".join(words))
+    return {k: (len(v), len(places[k]), len(held[k[1]]), len(entity_rows[k[0]]), len(rows)) for k, v in together.items()}
+
+
+def disclosing(rows, share=0.8, bits=4.0, doubt=0.05):
+    """Terms over the thresholds; luck by the Chernoff bound of the binomial tail."""
+    found = set()
+    for (_, term), (both, seen, all_rows, of_entity, total) in term_measures(rows).items():
+        part, luck = both / all_rows, 2 ** bits * of_entity / total
+        n = math.ceil(seen / part)
+        k = seen / n
+        if part >= share and luck < k:
+            tail = math.exp(-n * (k * math.log(k / luck) + ((1 - k) * math.log((1 - k) / (1 - luck)) if k < 1 else 0.0)))
+            if tail <= doubt * (1 + 1e-9):
+                found.add(term)
+    return found
+
+
+def term_spans(text, terms):
+    base = personal(text)
+    out = []
+    for m in re.finditer(r"\S+", text or ""):
+        word = m.group().strip(EDGES)
+        if word.lower() in terms:
+            start = m.start() + len(m.group()) - len(m.group().lstrip(EDGES))
+            if not any(s < start + len(word) and start < e for _, s, e in base):
+                out.append(("term", start, start + len(word)))
+    return out

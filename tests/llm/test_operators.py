@@ -1,6 +1,7 @@
 """Text operators against brute force, and on nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,18 @@ EDGE = [(1, None), (2, ""), (3, " \t\n "), (4, "One two."), (5, LONG), (6, LONG)
         (8, "é" * 300 + " Ünïcode\x0bwörds\x1c" + prose(3, 40)), (None, prose(4, 30))]
 
 
+def disclosing_rows():
+    """600 rows; near addresses a rare name, a short one, a number, and a word in one context only."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(30))) for i in range(560)]
+    fill = lambda: " ".join(f"w{rng.randrange(60)}" for _ in range(4))
+    rows += [(1000 + i, f"{fill()} Zo, {fill()} mail zo@site.org {fill()} nr 4711 {fill()}") for i in range(3)]
+    rows += [(2000, f"{fill()} (Quirrel) call +49 30 1234567 {fill()}"), (2001, f"{fill()} 李 10.0.0.7 {fill()}")]
+    rows += [(3100, f"{fill()} copied once@site.org {fill()}")] * 9  # copies are one surrounding, of an entity in nine rows
+    rows += [(4000 + i, f"{fill()} widely used{i} {fill()}" + (" u@site.org widely" if i % 3 else "")) for i in range(9)]
+    return rows + [(5000, "zo quirrel 4711 without address"), (None, None), (5001, "")]
+
+
 def by_id(df, *columns):
     return sorted(((r["doc_id"], *(r[c] for c in columns)) for r in df.collect()), key=repr)
 
@@ -138,6 +151,10 @@ def test_base_spans_by_chance():
         text = "".join(rng.choice("a.@-+12 9()%b:") for _ in range(rng.randint(0, 60)))
         assert [(pii.KINDS[k], s, e) for k, s, e in pii.base_spans(text)] == brute.personal(text)
     pii.base_spans("a" * 300_000 + "1" * 300_000 + "." * 10)  # long runs cost no retries
+    start = time.time()
+    for text in ("a@" * 500_000, "@" * 1_000_000, "a@b" * 300_000 + ".c"):
+        assert len(pii.base_spans(text)) == len(brute.personal(text[-60:]))
+    assert time.time() - start < 10  # linear in the number of @
 
 
 def test_personal_data(spark):
@@ -146,7 +163,7 @@ def test_personal_data(spark):
     rows += [(60, "we met Zorblax, again"), (61, "4111 1111 1111 1111 or +1 (555) 010-9999 or 10.0.0.256 10.0.0.255")]
     rows += [(70 + i, f"{prose(200 + i, 20)} about the plan called") for i in range(30)]
     docs = traps(spark, rows)
-    found = pii.with_spans(docs, "found", pii.Disclosure(share=0.8, bits=1.0))
+    found = pii.with_spans(docs, "found", pii.Disclosure(share=0.8, bits=1.0, doubt=0.01))
     assert found.columns == [*docs.columns, "found"]
     for r in found.collect():
         spans = [tuple(s) for s in r["found"]]
@@ -154,7 +171,7 @@ def test_personal_data(spark):
         assert base == brute.personal(r["text"])
         terms = {(r["text"] or "")[s:e] for k, s, e in spans if k == "term"}
         assert terms == ({"Zorblax"} if "Zorblax" in (r["text"] or "") else set())
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitised_rows(docs, pii.Disclosure(bits=1.0)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised_rows(docs, pii.Disclosure(bits=1.0, doubt=0.01)).collect()}
     assert clean[60] == "we met <TERM>, again" and entity not in clean[41] and "<EMAIL>" in clean[41]
     assert clean[61] == "<CARD> or <PHONE> or 10.0.0.256 <IP>"
     assert clean[1] is None and clean[5] == LONG
@@ -164,13 +181,14 @@ def test_personal_data(spark):
 def test_terms_stay_a_table(spark, monkeypatch):
     rows = [(i, f"{prose(300 + i, 6)} Person{i // 4}x wrote p{i // 4}@example.org on {prose(400 + i, 6)}") for i in range(160)]
     rows += [(1000 + i, f"ask person{i}x") for i in range(3)]
+    rows += [(2000 + i, prose(5000 + i, 12)) for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     collected, plain = [], type(docs).collect
     monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(df.columns) or plain(df))
     found = pii.with_spans(docs, "spans", pii.Disclosure(block=10))
     assert not any("term" in c for c in collected)
     spans = {r["doc_id"]: [r["text"][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in plain(found)}
-    assert spans == {i: [f"Person{i // 4}x"] if i < 1000 else [f"person{i - 1000}x"] for i, _ in rows}
+    assert spans == {i: [f"Person{i // 4}x"] if i < 1000 else [f"person{i - 1000}x"] if i < 2000 else [] for i, _ in rows}
 
 
 # --- packing
@@ -406,3 +424,35 @@ def test_propagation_reaches_the_end_of_a_chain(spark):
     got = {r["host"]: r["trust"] for r in url_filter.propagate(
         seeds, spark.createDataFrame(edges, "src string, dst string, weight double").coalesce(1), url_filter.Propagation(damping=0.6, enough=1e-8)).collect()}
     assert got[f"h{n}"] > 0
+
+
+# --- disclosing terms with production values
+
+def test_term_measures_equal_brute_force(spark):
+    rows = disclosing_rows()
+    found = pii.measured_terms(traps(spark, rows).select("text").repartition(4))
+    got = sorted((r["term"], r["together"], r["places"], r["rows"], r["entity_rows"], r["total"]) for r in found.collect())
+    assert got == sorted((t, *m) for (_, t), m in brute.term_measures(rows).items())
+
+
+def test_production_thresholds_find_planted_terms(spark):
+    rows = disclosing_rows()
+    docs = traps(spark, rows)
+    terms = {r["term"] for r in pii.disclosing_terms(docs.select("text")).collect()}
+    assert terms == brute.disclosing(rows)
+    # short, numeric, one letter of another script; one surrounding is enough in 600 rows, widely used words are not taken
+    assert {"李", "call", "nr"} <= terms and "zo" not in terms and "4711" not in terms and not {"widely", "copied"} & terms
+    more = docs.where("doc_id is null or doc_id <> 5000")
+    terms = {r["term"] for r in pii.disclosing_terms(more.select("text")).collect()}
+    assert {"zo", "4711", "quirrel", "李"} <= terms
+    got = pii.with_spans(more, "found").collect()
+    for r in got:
+        want = brute.personal(r["text"]) + brute.term_spans(r["text"], terms)
+        assert [(x["kind"], x["start"], x["end"]) for x in r["found"]] == want
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised_rows(more).collect()}
+    assert "<TERM>" in clean[2001] and "李" not in clean[2001]
+
+
+def test_few_rows_prove_nothing(spark):
+    rows = [(1, "Anna anna@site.org"), (2, "some words"), (3, "other words")]
+    assert pii.disclosing_terms(traps(spark, rows).select("text")).count() == 0

@@ -34,10 +34,10 @@ def test_pipeline(spark, sf_dir):
     classes = brute.simhash_classes(kept)
     kept = [(i, t) for i, t in kept if classes[i][1] == i]
     kept = [(i, t) for i, t in kept if not brute.contamination(t, items)[1]]
-    want = []
+    want, terms = [], brute.disclosing(kept)
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     for i, t in kept:
-        spans = [(pii.KINDS.index(k), s, e) for k, s, e in brute.personal(t)]
+        spans = [(pii.KINDS.index(k), s, e) for k, s, e in brute.personal(t) + brute.term_spans(t, terms)]
         ids = tokenizer.encode(pii.sanitised(t or "", spans), add_special_tokens=False).ids + [0]
         want += [(i, at, len(ids[at:at + 1024]), brute.crc(ids[at:at + 1024]), len(ids)) for at in range(0, len(ids), 1024)]
     got = corpus_pipeline.run(spark, sf_dir)
