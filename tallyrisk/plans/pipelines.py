@@ -9,7 +9,7 @@ from ..operators import explain, features, graph, inject, metrics, positions, pr
 from ..operators.skew import heavy_keys
 from ..session import fresh_path, materialize
 from ..sources import files
-from . import models
+from . import models, network
 
 
 def build_dataset(tx: DataFrame, base: str, mode: str = "synthetic", scores: DataFrame | None = None,
@@ -89,6 +89,20 @@ def train_accounts(tables: dict[str, DataFrame], hops: int = 2, with_derived: bo
     return model, propagate.score_table(scored), metrics.evaluate(judged, ["split"])
 
 
+def train_network(tables: dict[str, DataFrame], settings: network.Training = network.Training(), with_derived: bool = True,
+                  features: list[str] | None = None) -> tuple[network.Network, DataFrame, DataFrame]:
+    """(two-layer network learned over the whole graph, scores of all accounts, metrics per split)."""
+    base = list(features or schema.ACCOUNT_FEATURES)
+    nodes = tables["account_nodes"]
+    statistics = materialize(propagate.feature_statistics(nodes, base), "scaler")
+    vectors = materialize(propagate.standardize(nodes, statistics, base), "vectors")
+    edges = propagate.message_edges(nodes, tables["account_account_edges"], tables["derived_account_edges"] if with_derived else None)
+    marked = positions.account_temporal_split(nodes).select("node_id", F.col("node_label").alias("label"), "split")
+    model, scored = network.train(network.prepare(vectors, edges, marked, base), settings)
+    judged = scored.withColumn("label", F.col("label").cast("int")).select("split", "label", "probability")
+    return model, propagate.score_table(scored), metrics.evaluate(judged, ["split"])
+
+
 def score_accounts(model: models.AccountModel, tables: dict[str, DataFrame]) -> DataFrame:
     """Scores of the accounts of any graph by a trained or reloaded model, with the model's own scaler."""
     table = hop_table(tables, model.base, model.statistics, model.hops, model.with_derived)
