@@ -150,6 +150,17 @@ def score_and_explain(tx: DataFrame, model: models.TreeModel, k: int = 10) -> Da
         "model_bias", F.round("bias", 6)).drop("bias")
 
 
+def training_manifest(spark: SparkSession, base: str, name: str, run: str, model, judged: DataFrame, **paths: str) -> dict:
+    """Commit what a training run used and reached: parameters, history, metrics and rows per split, paths."""
+    rows = {r["split"]: r.asDict() for r in judged.collect()}  # one row per split
+    about = {"params": getattr(model, "params", None) or getattr(model, "settings", None), "trials": getattr(model, "trials", []),
+             "history": getattr(model, "history", None) or getattr(model, "losses", []), "features": getattr(model, "features", None),
+             "metrics": rows, "artifacts": paths,
+             "rows": {k: v["tp"] + v["fp"] + v["fn"] + v["tn"] for k, v in rows.items()},
+             "fraud": {k: v["tp"] + v["fn"] for k, v in rows.items()}}
+    return files.write_manifest(spark, base, name, run, about)
+
+
 def hybrid(tx: DataFrame, base: str, params: dict | None = None, train_gnn: bool = True, train_trees: bool = True,
            stored_scores: DataFrame | None = None) -> dict:
     """Transactions, graph, account model, scores, enriched transactions, boosted trees."""
@@ -157,19 +168,29 @@ def hybrid(tx: DataFrame, base: str, params: dict | None = None, train_gnn: bool
     result = {"dataset": build_dataset(tx, f"{base}/dataset", engineered=False, splits=False)}
     raw = spark.read.parquet(result["dataset"]["raw_path"])
     result["graph"] = build_graph_tables(raw, f"{base}/graph")
+    run = files.new_run_id()
     if train_gnn:
-        _, scores, result["account_metrics"] = train_accounts(graph_tables(spark, result["graph"]))
+        accounts, scores, result["account_metrics"] = train_accounts(graph_tables(spark, result["graph"]))
+        accounts.save(f"{base}/account_model/run_id={run}")
+        result["account_training"] = training_manifest(spark, base, "account_training", run, accounts, result["account_metrics"],
+                                                       model=f"{base}/account_model/run_id={run}")
     elif stored_scores is not None:
         scores = stored_scores
     else:
         raise ValueError("without training, stored account scores are needed")
-    run = files.new_run_id()
-    scores = spark.read.parquet(files.write_version(scores, base, "account_scores", run))
+    scores_path = files.write_version(scores, base, "account_scores", run)
+    scores = spark.read.parquet(scores_path)
     result["scores"] = propagate.score_summary(scores)
-    enriched = spark.read.parquet(files.write_version(
-        inject.inject_scores(raw, scores, keep_probability=True), base, "enriched", run))
+    enriched_path = files.write_version(inject.inject_scores(raw, scores, keep_probability=True), base, "enriched", run)
+    enriched = spark.read.parquet(enriched_path)
     result["injection"] = inject.injection_summary(enriched)
+    result["injection_manifest"] = files.write_manifest(spark, base, "injection", run, {
+        "input": result["dataset"]["raw_path"], "scores": scores_path, "output": enriched_path,
+        "summary": result["injection"].first().asDict()})  # one row
     if train_trees:
         result["model"], result["metrics"] = train_transactions(enriched, params)
+        result["model"].save(f"{base}/tree_model/run_id={run}")
+        result["training"] = training_manifest(spark, base, "training", run, result["model"], result["metrics"],
+                                               model=f"{base}/tree_model/run_id={run}", data=enriched_path)
         result["gates"] = metrics.gates(result["metrics"].where("split = 'test'"))
     return result

@@ -43,11 +43,22 @@ def first_pairs(stream: DataFrame, key: str, item: str) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark([key, item])
 
 
+def _plain(value):
+    """A number or text that JSON can hold; missing values of a Pandas column are None."""
+    return None if pd.isna(value) else value.item() if hasattr(value, "item") else value
+
+
+def _by_time(row: list) -> tuple:
+    """Order of [time, id] rows, also where an id is missing."""
+    return row[0], row[1] is None, "" if row[1] is None else row[1]
+
+
 def after_silence(stream: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int) -> DataFrame:
     """Rows that follow a silence longer than the gap, in event-time order whatever the order of
     arrival. `stream` carries a watermark: rows wait in the state of their key until it has passed
     them, then the gaps are taken in order. The state is the time of the last row and the rows that
-    still wait."""
+    still wait. Rows without a time or a key follow nothing and are left out; rows of one instant are
+    taken by id, those without an id last."""
     id_type = stream.schema[row_id].dataType
     out = T.StructType([T.StructField(row_id, id_type), T.StructField("silence_seconds", T.DoubleType())])
     state_type = T.StructType([T.StructField("last", T.LongType()), T.StructField("waiting", T.StringType())])
@@ -56,9 +67,9 @@ def after_silence(stream: DataFrame, key: str, ts: str, row_id: str, gap_seconds
         last, waiting = (state.get[0], json.loads(state.get[1])) if state.exists else (None, [])
         if not state.hasTimedOut:
             for batch in batches:
-                waiting += [[int(at), i.item() if hasattr(i, "item") else i] for at, i in zip(batch["_at"], batch[row_id])]
+                waiting += [[int(at), _plain(i)] for at, i in zip(batch["_at"], batch[row_id])]
         passed = state.getCurrentWatermarkMs()
-        waiting.sort()
+        waiting.sort(key=_by_time)
         ready = [w for w in waiting if w[0] // 1000 < passed]
         waiting = waiting[len(ready):]
         ids, gaps = [], []
@@ -72,7 +83,7 @@ def after_silence(stream: DataFrame, key: str, ts: str, row_id: str, gap_seconds
             state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, passed + 1))
         yield pd.DataFrame({row_id: ids, "silence_seconds": gaps})
 
-    rows = stream.select(key, row_id, ts, F.unix_micros(ts).alias("_at"))
+    rows = stream.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(key, row_id, ts, F.unix_micros(ts).alias("_at"))
     return rows.groupBy(key).applyInPandasWithState(update, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -83,7 +94,8 @@ def dispersed_credits(stream: DataFrame, key: str, ts: str, credit: Column, row_
     `stream` carries a watermark; rows where `credit` holds are credits, all others payments. A credit
     is judged once the watermark has passed its window. Credits and payments are not paired up: for
     the credits of a key, in order, two pointers move over its payments and keep a count per item.
-    The state holds the credits that still wait and the payments they may need."""
+    The state holds the credits that still wait and the payments they may need. Rows without a time or a key
+    are left out, and so are payments without an item: they are no distinct item."""
     types = {f.name: f.dataType for f in stream.schema.fields}
     out = T.StructType([T.StructField(key, types[key]), T.StructField("credit_id", types[row_id]), T.StructField("items", T.LongType())])
     state_type = T.StructType([T.StructField("credits", T.StringType()), T.StructField("payments", T.StringType())])
@@ -94,10 +106,10 @@ def dispersed_credits(stream: DataFrame, key: str, ts: str, credit: Column, row_
         if not state.hasTimedOut:
             for batch in batches:
                 for at, i, what, is_credit in zip(batch["_at"], batch[row_id], batch[item], batch["_credit"]):
-                    (credits if is_credit else payments).append([int(at), (i.item() if hasattr(i, "item") else i) if is_credit else what])
+                    (credits if is_credit else payments).append([int(at), _plain(i) if is_credit else what])
         passed = state.getCurrentWatermarkMs()
-        credits.sort()
-        payments.sort()
+        credits.sort(key=_by_time)
+        payments.sort(key=lambda p: p[0])
         ready = [c for c in credits if (c[0] + span) // 1000 < passed]
         found, held, low, high = [], {}, 0, 0
         for at, i in ready:
@@ -119,7 +131,9 @@ def dispersed_credits(stream: DataFrame, key: str, ts: str, credit: Column, row_
             state.setTimeoutTimestamp(max((credits[0][0] + span) // 1000 + 1, passed + 1))
         yield pd.DataFrame(found, columns=[key, "credit_id", "items"])
 
-    rows = stream.select(key, row_id, item, ts, F.unix_micros(ts).alias("_at"), F.coalesce(credit, F.lit(False)).alias("_credit"))
+    is_credit = F.coalesce(credit, F.lit(False))
+    known = stream.where(F.col(ts).isNotNull() & F.col(key).isNotNull() & (is_credit | F.col(item).isNotNull()))
+    rows = known.select(key, row_id, item, ts, F.unix_micros(ts).alias("_at"), is_credit.alias("_credit"))
     return rows.groupBy(key).applyInPandasWithState(update, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -282,12 +282,39 @@ def test_record_shapes_and_files(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"broken": \n[1,2]\n')
     mixed = files.read_records(spark, str(tmp_path))
     assert mixed.where("not valid").count() == 2
-    with pytest.raises(ValueError, match="c.jsonl"):
+    assert sorted(r.line for r in mixed.where("not valid").collect()) == [1, 2]
+    with pytest.raises(ValueError, match="c.jsonl, line 1"):
         files.require_valid(mixed)
     with pytest.raises(FileNotFoundError):
         files.read_records(spark, str(tmp_path / "nothing"))
 
 
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    """Files that are read in many blocks, with blank and broken lines."""
+    for name, n in (("a", 3000), ("b", 1), ("c", 700)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"text": "{name}{i + 1}"}}\n' if i % 7 else "\n" if i % 14 else "{broken\n" for i in range(n)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.read_jsonl(spark, str(tmp_path)).collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len(rows) == sum(1 for n in (3000, 1, 700) for i in range(n) if i % 7 or i % 14 == 0)
+    for r in rows:
+        assert (r.line - 1) % 14 == 0 and not r.valid if r.record == "{broken" else r.record == f'{{"text": "{r.file[-7]}{r.line}"}}'
+
+
+def test_normalised_set_and_rejects(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"text":"t"}\n\nnope\n{"other":1}\n{"prompt":"p","completion":"c"}\n')
+    base = str(tmp_path / "out")
+    manifest = files.write_normalised(spark, str(tmp_path), base)
+    assert manifest["counts"] == {"records": 2, "rejects": 2}
+    rejects = files.read_latest(spark, base, "instruction_rejects").collect()
+    assert sorted((r.line, r.record, r.reason) for r in rejects) == [(3, "nope", "no JSON object"), (4, '{"other":1}', "no known shape")]
+    assert files.write_normalised(spark, str(tmp_path), base, "preference")["counts"] == {"records": 0, "rejects": 4}
+
+
 def test_long_conversations_come_in_parts(spark):
     turns = spark.createDataFrame([(1, i, "user", str(i)) for i in range(10_001)] + [(2, 0, "user", "x")],
                                   "conv_id int, turn int, role string, text string")
