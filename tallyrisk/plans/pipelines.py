@@ -173,7 +173,7 @@ def hybrid(tx: DataFrame, base: str, params: dict | None = None, train_gnn: bool
         accounts, scores, result["account_metrics"] = train_accounts(graph_tables(spark, result["graph"]))
         accounts.save(f"{base}/account_model/run_id={run}")
         result["account_training"] = training_manifest(spark, base, "account_training", run, accounts, result["account_metrics"],
-                                                       model=f"{base}/account_model/run_id={run}")
+                                                       model_path=f"{base}/account_model/run_id={run}")
     elif stored_scores is not None:
         scores = stored_scores
     else:
@@ -191,6 +191,6 @@ def hybrid(tx: DataFrame, base: str, params: dict | None = None, train_gnn: bool
         result["model"], result["metrics"] = train_transactions(enriched, params)
         result["model"].save(f"{base}/tree_model/run_id={run}")
         result["training"] = training_manifest(spark, base, "training", run, result["model"], result["metrics"],
-                                               model=f"{base}/tree_model/run_id={run}", data=enriched_path)
+                                               model_path=f"{base}/tree_model/run_id={run}", data=enriched_path)
         result["gates"] = metrics.gates(result["metrics"].where("split = 'test'"))
     return result

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,28 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **extra: str) ->
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once. Workers that find it on their own
+    path do not need it."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyrisk_sent", None) == context.applicationId:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tallyrisk-"), "tallyrisk.zip")  # read by the driver's file server
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    context._tallyrisk_sent = context.applicationId
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the one named in spark.checkpoint.dir.
 
