@@ -2,20 +2,24 @@
 
 Words are runs of letters and digits, A-Z lower-cased; shingles are five words. Templates of up to
 2^c shingles are looked for in windows of 2 * 2^c shingles that start every 2^c shingles, so an
-occurrence lies whole in some window. A window has `bands` MinHash values of one row each, and
-meets the templates that share a value. With a containment of 0.8 the Jaccard similarity is
-at least 0.8 / 2.2, so 32 bands miss a template with a probability under 10^-6. Windows and templates
-that meet are compared: a template is found if the window holds at least 80 % of its shingles.
+occurrence lies whole in some window. A window has MinHash values of one row each, and meets the
+templates that share a value. A template of n shingles, 80 % of which lie in a window of at most 2w others
+and these, has a Jaccard similarity of 0.8 n / (2w + 0.2 n) or more: between 0.19 where n is just over half of w,
+and 0.36 where n is w. Each width has as many bands as its smallest template needs to be missed with a probability
+of at most 10^-6 (31 to 66). Windows and templates that meet are compared: a template is found if the window
+holds at least 80 % of its shingles.
 
 Windows without a single template shingle cannot match and are not hashed.
 
 Defined results: null and empty texts, and texts under five words, hold no licence; templates under
-five words are refused; repeated rows each get the result; an empty table gives an empty table. Only
-built-in functions run here, no Python.
+five words are refused; repeated rows each get the result; long texts are cut into windows whole; several
+templates of one licence count as one name; extra columns are not carried along; an empty table gives
+an empty table. Only built-in functions run on the tables, no Python.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import store
 
 SHINGLE = 5
-BANDS = 32
+MISS = 1e-6  # of a whole notice, or of 80 % of one
 CONTAINMENT = 0.8
 MOST_SHINGLES = 50_000  # of all templates; they are part of the query plan
 
@@ -43,6 +47,27 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
             " Public License as published by the Free Software Foundation"),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General"
+             " Public License as published by the Free Software Foundation"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero"
+                 " General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+            " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the"
+            " Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED"
+            " TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+            " provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES,"
+            " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on"
+                   " an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,"
+                  " compile, sell, or distribute this software"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
@@ -60,8 +85,14 @@ SHINGLES = (f"transform(slice(word_hashes, 1, greatest(size(word_hashes) - {SHIN
             + ", ".join(f"get(word_hashes, i + {k})" for k in range(1, SHINGLE)) + "))")
 
 
-def _bands(shingles: str, bands: int) -> Column:
-    return F.expr(f"transform(sequence(0, {bands - 1}), b -> array_min(transform({shingles}, x -> xxhash64(x, b))))")
+def bands_for(shingles: int, width: int, containment: float = CONTAINMENT, miss: float = MISS) -> int:
+    """How many MinHash values a template of this size needs in windows of twice the width."""
+    similar = containment * shingles / (2 * width + (1 - containment) * shingles)
+    return math.ceil(math.log(miss) / math.log(1 - similar)) if similar < 1 else 1
+
+
+def _bands(shingles: str, bands: str) -> Column:
+    return F.expr(f"transform(sequence(0, {bands} - 1), b -> array_min(transform({shingles}, x -> xxhash64(x, b))))")
 
 
 def template_shingles(templates: DataFrame) -> DataFrame:
@@ -71,7 +102,7 @@ def template_shingles(templates: DataFrame) -> DataFrame:
     return found.withColumn("width", F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles")))).cast("int"))
 
 
-def scan(docs: DataFrame, templates: DataFrame, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT, miss: float = MISS) -> DataFrame:
     """One row per row of `docs`: doc_id, licenses (sorted names), n_templates (templates found)."""
     wanted = store(template_shingles(templates), "templates")
     held = wanted.select("template", "width", F.col("shingles")).collect()
@@ -81,6 +112,8 @@ def scan(docs: DataFrame, templates: DataFrame, bands: int = BANDS, containment:
     if len(known) > MOST_SHINGLES:
         raise ValueError("too many templates for one scan; split them")
     widths = sorted({r["width"] for r in held})
+    needed = {w: max(bands_for(len(r["shingles"]), w, containment, miss) for r in held if r["width"] == w) for w in widths}
+    bands = "case " + " ".join(f"when width = {w} then {n}" for w, n in needed.items()) + " end"
     rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), _word_hashes(F.col("text")).alias("word_hashes"))
     rows = rows.select("doc_id", "digest", F.expr(SHINGLES).alias("all"))
     places = F.filter(F.transform("all", lambda x, i: F.when(x.isin(known), i)), lambda i: i.isNotNull())
@@ -96,7 +129,7 @@ def scan(docs: DataFrame, templates: DataFrame, bands: int = BANDS, containment:
     windows = store(windows, "windows")
     banded = windows.select("*", F.posexplode(_bands("held", bands)).alias("band", "value"))
     index = wanted.select("template", "license", "width", "shingles", F.posexplode(_bands("shingles", bands)).alias("band", "value"))
-    met = banded.join(F.broadcast(index), ["width", "band", "value"])  # 32 rows a template
+    met = banded.join(F.broadcast(index), ["width", "band", "value"])  # at most 66 rows a template
     found = met.where(F.size(F.array_intersect("held", "shingles")) >= containment * F.size("shingles"))
     hits = found.select("doc_id", "digest", "template", "license").distinct().groupBy("doc_id", "digest").agg(
         F.sort_array(F.collect_set("license")).alias("licenses"), F.count(F.lit(1)).alias("n_templates"))

@@ -12,7 +12,8 @@ the size of the table, are packed best-fit. Rests of one length are ranked (in s
 frequent length does not end in one task) and dealt to the patterns by rank.
 
 Defined results: a null or empty text is the single id 0; repeated rows are packed one by one; a
-null doc_id is a value like any other; an empty table gives no pieces.
+null doc_id is a value like any other; long texts are encoded whole; rests of one length are tied and dealt
+in the order of doc_id and start; extra columns are not carried along; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -40,18 +41,28 @@ class Encoder:
     """Token ids as little-endian 32-bit bytes.
 
     The vocabulary splits text before every single blank between two other characters, so the
-    words of ordinary text are encoded one by one and remembered.
+    words of ordinary text are encoded one by one and remembered. `special` are the added tokens of the
+    vocabulary (text, id): they are cut out of the text first, and what stands between them is encoded by itself.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
+        self.special = {text: np.array([i], "<u4").tobytes() for text, i in special}
+        # of two that start at one place the longer one counts
+        listed = "|".join(re.escape(t) for t in sorted(self.special, key=lambda t: (-len(t), t)))
+        self.cut = re.compile(f"({listed})") if special else None
 
     def ids(self, text: str) -> bytes:
+        if self.cut is None:
+            return self.plain(text)
+        return b"".join(self.special[p] if k % 2 else self.plain(p) for k, p in enumerate(self.cut.split(text)) if p)
+
+    def plain(self, text: str) -> bytes:
         if "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -69,19 +80,20 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(ranks_path: str, pattern: str) -> Encoder:
-    if ranks_path not in _encoders:
-        _encoders[ranks_path] = Encoder(ranks_path, pattern)
-    return _encoders[ranks_path]
+def _encoder(*vocabulary) -> Encoder:
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(*vocabulary)
+    return _encoders[vocabulary]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, size: int = SIZE, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = (), size: int = SIZE,
+           with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and, if wanted, the ids of every piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, pattern)
+        encoder = _encoder(ranks_path, pattern, special)
         for batch in batches:
             row, start, length, crc, total, ids = [], [], [], [], [], []
             for number, text in enumerate(batch.column(1).to_pylist()):
@@ -279,6 +291,7 @@ def pack(cut: DataFrame, size: int = SIZE, slice_rows: int = SLICE_ROWS) -> Data
         (F.col("at") + (F.col("rank") - F.col("low")) % F.col("each") * F.col("length")).alias("offset"))
 
 
-def packed(docs: DataFrame, ranks_path: str, pattern: str, size: int = SIZE, with_ids: bool = True) -> DataFrame:
+def packed(docs: DataFrame, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = (), size: int = SIZE,
+           with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset."""
-    return pack(store(pieces(docs, ranks_path, pattern, size, with_ids), "pieces"), size)
+    return pack(store(pieces(docs, ranks_path, pattern, special, size, with_ids), "pieces"), size)

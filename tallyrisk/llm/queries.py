@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable
 
@@ -151,11 +152,13 @@ def op1_personal_data(spark, sf_dir):
                         _joined(F.col("spans")).alias("spans"), kinds[pii.BASE])
 
 
-def vocabulary() -> tuple[str, str]:
-    """Path and split pattern of the byte-level vocabulary; the same ids as byte_bpe_50k.json."""
+def vocabulary() -> tuple[str, str, tuple[tuple[str, int], ...]]:
+    """Path, split pattern and added tokens of the byte-level vocabulary; the same ids as byte_bpe_50k.json."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as described:
+        added = json.load(described)["added_tokens"]
+    return (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tuple((t["content"], t["id"]) for t in added))
 
 
 @query("op5_sequence_packing")

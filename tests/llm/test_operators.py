@@ -1,6 +1,7 @@
 """Text operators against brute force, and on nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import random
+import re
 import time
 
 import pytest
@@ -219,10 +220,10 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     rows = EDGE + [(50, "two  blanks\n and\ta tab    end "), (51, "it's  'quoted' 3.14\n\n\nnew"), (52, " lead"), (53, "trail ")]
+    rows += [(60 + i, t) for i, t in enumerate(("<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext|", " <|endoftext|>\n\n"))]
     docs = traps(spark, rows)
     packed = packing.packed(docs, *queries.vocabulary(), with_ids=True).collect()
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = sorted(((i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [0])) for i, t in rows), key=repr)
     pieces: dict = {}
     for r in packed:
@@ -456,3 +457,68 @@ def test_production_thresholds_find_planted_terms(spark):
 def test_few_rows_prove_nothing(spark):
     rows = [(1, "Anna anna@site.org"), (2, "some words"), (3, "other words")]
     assert pii.disclosing_terms(traps(spark, rows).select("text")).count() == 0
+
+
+# --- the method's own verdicts
+
+def test_url_verdicts_without_a_rule(spark):
+    """Every verdict follows from propagation over a graph built here by hand."""
+    rng = random.Random(21)
+    hosts = [f"h{i}.net" for i in range(12)] + ["good.org", "b.com", "www.b.com", "deep.www.b.com", "far.info"]
+    rows = []
+    for i in range(300):
+        h, to = rng.choice(hosts), rng.choice(hosts[:12] + ["good.org", "b.com", "B.com"])
+        path = rng.choice(("", "/", "/de/1", "/fr/2", "/x?q=//none.net"))
+        html = rng.choice((None, "", f'<a href="http://{to}/p">', f"<img SRC='//{to}/i'><a href={'http'}://{h}/own>")) if i < 290 else "x" * 200_000
+        rows.append((i, f"http://{h}{path}", html))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rule = url_filter.Propagation(rounds=40)
+    got = {r["page_id"]: r for r in url_filter.judge(pages, url_filter.rules_table(spark, queries.URL_RULES), rule).collect()}
+    edges, seeds = {}, {h: [0, 0] for h in {r[1].split("/")[2] for r in rows}}
+    for i, url, html in rows:
+        h = url.split("/")[2]
+        best = brute.rule_for(url, queries.URL_RULES)[2]
+        if best:
+            seeds[h][best[0] == "block"] += 1
+        for to in re.findall(r"""(?:href|src)=["']?(?:http:)?//([^/"' >]+)""", html or "", re.I):
+            if to.lower() != h:
+                edges[h, to.lower()] = edges.get((h, to.lower()), 0.0) + 1
+    for h in seeds:
+        up = [".".join(h.split(".")[k:]) for k in range(1, h.count(".") + 1)]
+        near = next((u for u in up if u in seeds), None)
+        if near:
+            for e in ((h, near), (near, h)):
+                edges[e] = edges.get(e, 0.0) + rule.family
+    total = [sum(s[k] for s in seeds.values()) or 1 for k in (0, 1)]
+    trust = brute.propagate({h: s[0] / total[0] for h, s in seeds.items()}, edges, rule.damping, 40)
+    distrust = brute.propagate({h: s[1] / total[1] for h, s in seeds.items()}, {(d, s): w for (s, d), w in edges.items()}, rule.damping, 40)
+    verdicts = set()
+    for i, url, _ in rows:
+        host, _, best = brute.rule_for(url, queries.URL_RULES)
+        want = best[0] if best else "block" if distrust[host] > rule.margin * trust[host] else "allow"
+        assert got[i]["verdict"] == want, (url, trust[host], distrust[host])
+        verdicts.add((best is None, want))
+    assert {(True, "block"), (True, "allow")} <= verdicts
+
+
+# --- licences of every width
+
+def test_planted_notices_of_every_size_are_found(spark):
+    rng = random.Random(30)
+    sizes = (1, 2, 3, 5, 9, 17, 24, 33, 65, 100)
+    texts = [" ".join(f"t{k}x{rng.randrange(10_000)}" for _ in range(n + 4)) for k, n in enumerate(sizes)]
+    templates = spark.createDataFrame([(k, f"L{k}", t) for k, t in enumerate(texts)], "template int, license string, text string")
+    rows, want = [], {}
+    for i in range(300):
+        k = i % len(sizes)
+        words = texts[k].split()
+        if i % 2 and sizes[k] >= 9:  # the end is cut off: at least 80 % of the shingles stay
+            words = words[:len(words) - sizes[k] // 5]
+        rows.append((i, f"{prose(i, rng.randrange(300), 5000)} {' '.join(words)} {prose(i + 1, rng.randrange(300), 5000)}"))
+        want[i] = [f"L{k}"]
+    got = dict(by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates), "licenses"))
+    assert got == want
+    for n in range(1, 200):
+        w = 1 << (n - 1).bit_length()
+        j = 0.8 * n / (2 * w + 0.2 * n)
+        assert (1 - j) ** licenses.bands_for(n, w) <= 1e-6 and licenses.bands_for(n, w) <= 72
