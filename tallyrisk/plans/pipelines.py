@@ -89,20 +89,32 @@ def train_accounts(tables: dict[str, DataFrame], hops: int = 2, with_derived: bo
     return model, propagate.score_table(scored), metrics.evaluate(judged, ["split"])
 
 
+def _network_inputs(tables: dict[str, DataFrame], base: list[str], with_derived: bool, statistics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    nodes = tables["account_nodes"]
+    vectors = materialize(propagate.standardize(nodes, statistics, base), "vectors")
+    return vectors, propagate.message_edges(nodes, tables["account_account_edges"], tables["derived_account_edges"] if with_derived else None)
+
+
 def train_network(tables: dict[str, DataFrame], settings: network.Training = network.Training(), with_derived: bool = True,
                   features: list[str] | None = None) -> tuple[network.Network, DataFrame, DataFrame]:
     """(two-layer network learned over the whole graph, scores of all accounts, metrics per split)."""
     base = list(features or schema.ACCOUNT_FEATURES)
-    nodes = tables["account_nodes"]
-    statistics = materialize(propagate.feature_statistics(nodes, base), "scaler")
-    vectors = materialize(propagate.standardize(nodes, statistics, base), "vectors")
-    edges = propagate.message_edges(nodes, tables["account_account_edges"], tables["derived_account_edges"] if with_derived else None)
-    marked = positions.account_temporal_split(nodes).select("node_id", F.col("node_label").alias("label"), "split")
+    statistics = materialize(propagate.feature_statistics(tables["account_nodes"], base), "scaler")
+    vectors, edges = _network_inputs(tables, base, with_derived, statistics)
+    marked = positions.account_temporal_split(tables["account_nodes"]).select("node_id", F.col("node_label").alias("label"), "split")
     model, scored = network.train(network.prepare(vectors, edges, marked, base), settings)
+    model.scaler, model.with_derived = statistics.first().asDict(), with_derived  # one row
     judged = scored.withColumn("label", F.col("label").cast("int")).select("split", "label", "probability")
     return model, propagate.score_table(scored), metrics.evaluate(judged, ["split"])
 
 
+def score_by_network(model: network.Network, tables: dict[str, DataFrame]) -> DataFrame:
+    """Scores of the accounts of any graph by a trained or reloaded network, with its own scaler."""
+    scaler = tables["account_nodes"].sparkSession.createDataFrame([tuple(model.scaler.values())], ", ".join(f"`{c}` double" for c in model.scaler))
+    vectors, edges = _network_inputs(tables, model.features, model.with_derived, scaler)
+    return propagate.score_table(model.score(vectors, edges))
+
+
 def score_accounts(model: models.AccountModel, tables: dict[str, DataFrame]) -> DataFrame:
     """Scores of the accounts of any graph by a trained or reloaded model, with the model's own scaler."""
     table = hop_table(tables, model.base, model.statistics, model.hops, model.with_derived)

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from .. import schema, streaming
 from ..operators import explain, features, metrics, textdata
-from ..plans import models, pipelines
+from ..plans import models, network, pipelines
 from ..session import fresh_path, materialize
 from ..sources import files, sample_view
 from ..sources.keyed_store import KeyedStore
@@ -371,6 +371,23 @@ def _accounts(spark, sf_dir):
                        F.lit(off == 0).alias("reload_agrees"))
 
 
+@query("model_network", ORACLES["model_accounts"])
+def _network_training(spark, sf_dir):
+    """The two-layer network, learned over the whole graph in a few epochs, saved, reloaded and applied again."""
+    manifest = pipelines.build_graph_tables(materialize(tx(spark, sf_dir), "transactions"), fresh_path(spark, "graph"))
+    tables = pipelines.graph_tables(spark, manifest)
+    model, scores, judged = pipelines.train_network(tables, network.Training(hidden=8, epochs=3))
+    path = fresh_path(spark, "network")
+    model.save(path)
+    again = pipelines.score_by_network(network.Network.load(path), tables)
+    joined = scores.withColumnRenamed("gnn_fraud_probability", "a").join(
+        again.select("account_id_hash", F.col("gnn_fraud_probability").alias("b")), "account_id_hash", "full")
+    off = joined.where(~F.coalesce(F.abs(F.col("a") - F.col("b")) < 1e-9, F.lit(False))).count()
+    rows = judged.withColumns({"n_total": F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), "n_fraud": F.col("tp") + F.col("fn")})
+    return rows.select("split", "n_total", "n_fraud", (_in_unit("precision", "recall", "auc", "pr_auc", "ece")
+                                                       & F.lit(len(model.history) == 3)).alias("metrics_hold"), F.lit(off == 0).alias("reload_agrees"))
+
+
 @query("model_transactions", with_tx(f"select split, count(*) as n_total, sum(label_is_fraud)::bigint as n_fraud, true as metrics_hold, "
        f"true as metrics_recomputed from ({SPLIT_SQL}) as s group by 1", *SPLIT_NAMES))
 def _transactions(spark, sf_dir):
