@@ -32,6 +32,7 @@ from .common import store
 SIZE = 1024
 GAP = 0.002  # stop when the plan is this close to the bound of the linear program
 SLICE_ROWS = 100_000
+REFRESH = 50
 CACHE = 400_000  # words whose ids a Python worker remembers
 
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -151,10 +152,16 @@ def plan(counts: dict[int, int], size: int = SIZE, gap: float = GAP, limit: int
     inverse = np.linalg.inv(base)
     use = np.maximum(inverse @ need, 0)
     floor = lengths @ need / size  # no plan is shorter than its ids
+    sound = base.copy(), use
     for turn in range(limit):
-        if turn % 200 == 199:  # rounding errors of the updates do not pile up
-            inverse = np.linalg.inv(base)
+        if turn % REFRESH == REFRESH - 1:  # rounding errors of the updates do not pile up
+            try:
+                inverse = np.linalg.inv(base)
+            except np.linalg.LinAlgError:  # they did: the last sound patterns stand, the rest is fitted greedily
+                base, use = sound
+                break
             use = np.maximum(inverse @ need, 0)
+            sound = base.copy(), use
         value = float(cost @ use)
         if value - floor <= gap * value:
             break
@@ -171,10 +178,12 @@ def plan(counts: dict[int, int], size: int = SIZE, gap: float = GAP, limit: int
             column[last[left]] += 1
             left -= int(lengths[last[left]])
         step = inverse @ column
-        ratios = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
-        out = int(ratios.argmin())
-        if not np.isfinite(ratios[out]):
+        fit = step > max(1e-9, 1e-7 * float(np.abs(step).max()))
+        ratios = np.where(fit, use / np.where(fit, step, 1), np.inf)
+        if not np.isfinite(ratios.min()):
             break
+        # of equal ratios the largest pivot: small ones make the base singular
+        out = int(np.where(ratios <= ratios.min() * (1 + 1e-12), step, -np.inf).argmax())
         use = np.maximum(use - ratios[out] * step, 0)
         use[out] = ratios[out]
         base[:, out], cost[out] = column, price[total]

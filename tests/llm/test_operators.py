@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,25 @@ def test_columns_are_priced():
     assert sum(times for _, times in packing.plan(counts, gap=0.0)) == 90
 
 
+def test_a_singular_base_keeps_the_last_sound_patterns(monkeypatch):
+    rng, inverse, calls = random.Random(4), np.linalg.inv, []
+
+    def once(matrix):
+        calls.append(1)
+        if len(calls) > 1:
+            raise np.linalg.LinAlgError("Singular matrix")
+        return inverse(matrix)
+
+    monkeypatch.setattr(np.linalg, "inv", once)
+    counts = {x: rng.randint(1, 50) for x in rng.sample(range(1, 1024), 300)}
+    covered: dict[int, int] = {}
+    for pattern, times in packing.plan(counts, gap=0.0):
+        assert times > 0 and sum(k * v for k, v in pattern.items()) <= packing.SIZE
+        for k, v in pattern.items():
+            covered[k] = covered.get(k, 0) + v * times
+    assert len(calls) > 1 and covered == counts
+
+
 def test_packing(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer
