@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ROWS_PER_TASK = 2_000_000
 MOST_KEYS = 10_000
+BUCKETS = 1 << 16
 
 
 def heavy_keys(left: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK,
@@ -16,11 +17,18 @@ def heavy_keys(left: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_P
 
     A key is heavy above `rows_per_task` rows, or above a `most_keys`-th of the table where that is
     more: there are never more than `most_keys` of them, which bounds what a join broadcasts.
+
+    Rows are counted by a short hash of the key first, so that map tasks send few and narrow partial
+    counts. Only the keys of buckets above the limit, which hold every heavy key, are counted one by one.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))  # one row
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")
+    buckets = left.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+    total = F.broadcast(buckets.agg(F.sum("_n").alias("_all")))  # one row
     limit = F.greatest(F.lit(rows_per_task), F.col("_all") / most_keys)
-    return counts.crossJoin(F.broadcast(total)).where(F.col("_n") > limit).select(
+    full = buckets.crossJoin(total).where(F.col("_n") > limit).select("_bucket", F.col("_all"))
+    counts = left.select(*keys, bucket).join(F.broadcast(full), "_bucket").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_all").alias("_all"))
+    return counts.where(F.col("_n") > limit).select(
         *keys, F.ceil(F.col("_n") / limit).cast("int").alias("_slices"))
 
 

@@ -69,15 +69,30 @@ def rolling_sums(rows: DataFrame, key: str, ts: str, measures: dict[str, Column]
                  horizons: dict[str, int], tile_seconds: int = TILE_SECONDS) -> DataFrame:
     """Sums over (ts - horizon .. ts], both ends included, one row per (key, ts).
 
-    Rows of one instant are added up before anything is shuffled. Each instant then becomes
-    one data event, and per horizon one question that lies just before the look-back start.
+    Each instant becomes one data event, and per horizon one question that lies just before the
+    look-back start. The rows of an ordinary key are shuffled once, before there are events: all
+    later steps of the key stay in that task. Keys with more than `KEY_ROWS` rows are cut into tiles.
     """
     names = list(measures)
-    instants = (
-        rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-        .select(key, F.unix_micros(ts).alias("_at"), *[c.alias(m) for m, c in measures.items()])
-        .groupBy(key, "_at").agg(*[F.sum(m).alias(m) for m in names])
-    )
+    present = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+        key, F.unix_micros(ts).alias("_at"), *[c.alias(m) for m, c in measures.items()])
+    ordinary, heavy = _by_size(present, key)
+    together = Window.partitionBy(key).orderBy("_pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = _rolled(ordinary, key, names, horizons, lambda events: events.select(
+        key, "_at", "_slot", *[F.sum(m).over(together).alias(f"run_{m}") for m in names]))
+    far = _rolled(heavy, key, names, horizons, lambda events: running_totals(
+        events, [key], time_tile("_pos", tile_seconds), ["_pos"], names))
+    return near.unionByName(far).withColumn(ts, F.timestamp_micros("_at")).drop("_at")
+
+
+def _by_size(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ordinary keys, dealt to tasks by the key, and the rows of the keys too large for that."""
+    busy = F.broadcast(heavy_keys(rows, [key], KEY_ROWS, KEY_LIMIT).select(key))
+    return rows.join(busy, key, "left_anti").repartition(key), rows.join(busy, key, "left_semi")
+
+
+def _rolled(rows: DataFrame, key: str, names: list[str], horizons: dict[str, int], run) -> DataFrame:
+    instants = rows.groupBy(key, "_at").agg(*[F.sum(m).alias(m) for m in names])
     marks = [F.struct(F.lit("").alias("slot"), (2 * F.col("_at") + 1).alias("pos"))]
     marks += [F.struct(F.lit(h).alias("slot"), (2 * (F.col("_at") - sec * MICROS)).alias("pos"))
               for h, sec in horizons.items()]
@@ -86,34 +101,62 @@ def rolling_sums(rows: DataFrame, key: str, ts: str, measures: dict[str, Column]
         .select(key, "_at", F.col("_m.slot").alias("_slot"), F.col("_m.pos").alias("_pos"),
                 *[F.when(F.col("_m.slot") == "", F.col(m)).otherwise(F.lit(0)).alias(m) for m in names])
     )
-    totals = running_totals(events, [key], time_tile("_pos", tile_seconds), ["_pos"], names)
+    totals = run(events)
     at_slot = {(m, s): F.max(F.when(F.col("_slot") == s, F.col(f"run_{m}")))
                for m in names for s in ["", *horizons]}
     return totals.groupBy(key, "_at").agg(*[
         (at_slot[m, ""] - at_slot[m, h]).alias(f"{m}_{h}") for m in names for h in horizons
-    ]).withColumn(ts, F.timestamp_micros("_at")).drop("_at")
+    ])
 
 
 def rolling_distinct(rows: DataFrame, key: str, item: str, ts: str, horizon: int, name: str,
                      tile_seconds: int = TILE_SECONDS) -> DataFrame:
     """Number of distinct items in [ts - horizon, ts], one row per (key, ts).
 
-    An item stays visible for `horizon` after each appearance. Within a tile as wide as the
-    horizon those spells always join up, so first and last appearance per tile say it all:
-    the count is the number of spells begun minus the number already over.
+    An item stays visible for `horizon` after each appearance. The count is the number of such
+    spells begun minus the number already over. The rows of an ordinary key are shuffled once and
+    stay in that task. For keys with more than `KEY_ROWS` rows the spells are found by tiles.
     """
-    present = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    spells = item_spells(present, key, item, ts, horizon)
+    present = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+        key, F.col(item).alias("_item"), F.unix_micros(ts).alias("_at"))
+    ordinary, heavy = _by_size(present, key)
+    counted = _distinct_near(ordinary, key, horizon).unionByName(_distinct_tiled(heavy, key, horizon, tile_seconds))
+    return counted.select(key, F.timestamp_micros("_at").alias(ts), F.col("n").alias(name))
+
+
+def _distinct_near(present: DataFrame, key: str, horizon: int) -> DataFrame:
+    """key, _at, n of rows that lie together by key."""
+    width = horizon * MICROS
+    seen = Window.partitionBy(key, "_item").orderBy("_at")
+    at, known = F.col("_at"), F.col("_item").isNotNull()
+    marked = present.distinct().withColumns({
+        "_opens": known & F.coalesce(at - F.lag("_at").over(seen) > width, F.lit(True)),
+        "_closes": known & F.coalesce(F.lead("_at").over(seen) - at > width, F.lit(True))})
+    no = F.lit(0).cast("bigint")
+    changes = marked.select(key, F.explode(F.filter(F.array(
+        F.struct((2 * at + 1).alias("pos"), no.alias("step"), F.lit(True).alias("ask")),
+        F.when(F.col("_opens"), F.struct((2 * at).alias("pos"), (no + 1).alias("step"), F.lit(False).alias("ask"))),
+        F.when(F.col("_closes"), F.struct((2 * (at + width) + 2).alias("pos"), (no - 1).alias("step"), F.lit(False).alias("ask"))),
+    ), lambda c: c.isNotNull())).alias("c")).groupBy(key, F.col("c.pos").alias("_pos")).agg(
+        F.sum("c.step").alias("step"), F.max("c.ask").alias("_ask"))
+    so_far = Window.partitionBy(key).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return changes.withColumn("n", F.sum("step").over(so_far)).where("_ask").select(
+        key, F.expr("(_pos - 1) div 2").alias("_at"), "n")
+
+
+def _distinct_tiled(present: DataFrame, key: str, horizon: int, tile_seconds: int) -> DataFrame:
+    """The same for keys of any size. Within a tile as wide as the horizon the spells of an item
+    always join up, so first and last appearance per tile say it all."""
+    spells = item_spells(present.withColumn("_ts", F.timestamp_micros("_at")), key, "_item", "_ts", horizon)
     changes = spells.select(key, F.explode(F.array(
         F.struct((2 * F.col("_from")).alias("pos"), F.lit(1).alias("step")),
         F.struct((2 * F.col("_until") + 2).alias("pos"), F.lit(-1).alias("step")),
     )).alias("c")).groupBy(key, F.col("c.pos").alias("_pos")).agg(F.sum("c.step").cast("bigint").alias("step"))
-    asked = present.select(key, (2 * F.unix_micros(ts) + 1).alias("_pos")).distinct()
+    asked = present.select(key, (2 * F.col("_at") + 1).alias("_pos")).distinct()
     events = changes.withColumn("_ask", F.lit(False)).unionByName(
         asked.withColumns({"step": F.lit(0).cast("bigint"), "_ask": F.lit(True)}))
     totals = running_totals(events, [key], time_tile("_pos", tile_seconds), ["_pos"], ["step"])
-    return totals.where("_ask").select(
-        key, F.timestamp_micros(F.expr("(_pos - 1) div 2")).alias(ts), F.col("run_step").alias(name))
+    return totals.where("_ask").select(key, F.expr("(_pos - 1) div 2").alias("_at"), F.col("run_step").alias("n"))
 
 
 def item_spells(rows: DataFrame, key: str, item: str, ts: str, horizon: int) -> DataFrame:

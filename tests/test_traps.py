@@ -35,6 +35,32 @@ def test_stable_int_matches_known_merchant_ages(spark):
     assert row.n == int(hashlib.sha256(b"mcc_4829").hexdigest()[:8], 16) % 3650
 
 
+def test_heavy_keys_share_buckets_with_others(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BUCKETS", 2)
+    rows = spark.range(90).select(F.when(F.col("id") < 40, "a").when(F.col("id") < 70, "b").otherwise(F.col("id").cast("string")).alias("k"))
+    assert {(r.k, r["_slices"]) for r in skew.heavy_keys(rows, ["k"], 10).collect()} == {("a", 4), ("b", 3)}
+
+
+def test_rows_of_an_ordinary_key_are_shuffled_once(spark):
+    rows = spark.createDataFrame([("a", "x", T0), ("a", None, T0), (None, "x", T0)], "k string, i string, t timestamp")
+    plan = timeline.rolling_distinct(rows, "k", "i", "t", 60, "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    assert [(r.k, r.n) for r in timeline.rolling_distinct(rows, "k", "i", "t", 60, "n").collect()] == [("a", 1)]
+
+
+@pytest.mark.parametrize("limit", [100_000, 3])
+def test_rolling_counts_do_not_depend_on_what_is_a_large_key(spark, monkeypatch, limit):
+    monkeypatch.setattr(timeline, "KEY_ROWS", limit)
+    data = [("a" if i % 3 else "b", None if i % 11 == 0 else f"i{i % 4}", T0 + dt.timedelta(seconds=(i * 37) % 600)) for i in range(40)]
+    rows = spark.createDataFrame(data + [("c", "x", T0)], "k string, i string, t timestamp")
+    back = dt.timedelta(seconds=90)
+    near = lambda k, t: [d for d in data + [("c", "x", T0)] if d[0] == k and t - back <= d[2] <= t]
+    got = {(r.k, r.t): r.n for r in timeline.rolling_distinct(rows, "k", "i", "t", 90, "n").collect()}
+    assert got == {(k, t): len({d[1] for d in near(k, t)} - {None}) for k, _, t in data + [("c", "x", T0)]}
+    sums = timeline.rolling_sums(rows, "k", "t", {"n": F.lit(1).cast("bigint")}, {"w": 90})
+    assert {(r.k, r.t): r.n_w for r in sums.collect()} == {(k, t): len(near(k, t)) for k, _, t in data + [("c", "x", T0)]}
+
+
 def test_half_even(spark):
     df = spark.createDataFrame([(0.0625,), (0.3125,), (0.4375,)], "p double")
     assert [r.x for r in df.select(half_even(F.col("p") * 8, 0).alias("x")).collect()] == [0.0, 2.0, 4.0]
