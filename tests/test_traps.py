@@ -41,6 +41,10 @@ def test_heavy_keys_share_buckets_with_others(spark, monkeypatch):
     assert {(r.k, r["_slices"]) for r in skew.heavy_keys(rows, ["k"], 10).collect()} == {("a", 4), ("b", 3)}
 
 
+def test_generated_methods_stay_small_enough_to_be_compiled(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_rows_of_an_ordinary_key_are_shuffled_once(spark):
     rows = spark.createDataFrame([("a", "x", T0), ("a", None, T0), (None, "x", T0)], "k string, i string, t timestamp")
     plan = timeline.rolling_distinct(rows, "k", "i", "t", 60, "n")._jdf.queryExecution().optimizedPlan().toString()
