@@ -32,7 +32,7 @@ from .common import store
 SIZE = 1024
 GAP = 0.002  # stop when the plan is this close to the bound of the linear program
 SLICE_ROWS = 100_000
-REFRESH = 50
+CAREFUL_REFRESH = 50  # turns between two inversions of the base
 CACHE = 400_000  # words whose ids a Python worker remembers
 
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -139,8 +139,11 @@ def _fill(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[np.ndarray
     return best, last
 
 
-def plan(counts: dict[int, int], size: int = SIZE, gap: float = GAP, limit: int = 200) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length -> how often) with how many sequences use each; covers `counts` exactly."""
+def plan(counts: dict[int, int], size: int = SIZE, gap: float = GAP, limit: int = 200,
+         careful: bool = False) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length -> how often) with how many sequences use each; covers `counts` exactly.
+
+    Should the base of patterns turn singular, all is done again with larger pivots (`careful`)."""
     lengths = np.array(sorted(length for length, n in counts.items() if n), dtype=np.int64)
     if not len(lengths):
         return []
@@ -152,13 +155,15 @@ def plan(counts: dict[int, int], size: int = SIZE, gap: float = GAP, limit: int
     inverse = np.linalg.inv(base)
     use = np.maximum(inverse @ need, 0)
     floor = lengths @ need / size  # no plan is shorter than its ids
-    sound = base.copy(), use
+    sound, refresh = (base.copy(), use), CAREFUL_REFRESH if careful else 200
     for turn in range(limit):
-        if turn % REFRESH == REFRESH - 1:  # rounding errors of the updates do not pile up
+        if turn % refresh == refresh - 1:  # rounding errors of the updates do not pile up
             try:
                 inverse = np.linalg.inv(base)
-            except np.linalg.LinAlgError:  # they did: the last sound patterns stand, the rest is fitted greedily
-                base, use = sound
+            except np.linalg.LinAlgError:  # they did
+                if not careful:
+                    return plan(counts, size, gap, limit, True)
+                base, use = sound  # the last sound patterns stand, the rest is fitted greedily
                 break
             use = np.maximum(inverse @ need, 0)
             sound = base.copy(), use
@@ -178,12 +183,13 @@ def plan(counts: dict[int, int], size: int = SIZE, gap: float = GAP, limit: int
             column[last[left]] += 1
             left -= int(lengths[last[left]])
         step = inverse @ column
-        fit = step > max(1e-9, 1e-7 * float(np.abs(step).max()))
+        fit = step > (max(1e-9, 1e-7 * float(np.abs(step).max())) if careful else 1e-9)
         ratios = np.where(fit, use / np.where(fit, step, 1), np.inf)
-        if not np.isfinite(ratios.min()):
+        out = int(ratios.argmin())
+        if not np.isfinite(ratios[out]):
             break
-        # of equal ratios the largest pivot: small ones make the base singular
-        out = int(np.where(ratios <= ratios.min() * (1 + 1e-12), step, -np.inf).argmax())
+        if careful:  # of equal ratios the largest pivot
+            out = int(np.where(ratios <= ratios[out] * (1 + 1e-12), step, -np.inf).argmax())
         use = np.maximum(use - ratios[out] * step, 0)
         use[out] = ratios[out]
         base[:, out], cost[out] = column, price[total]

@@ -216,12 +216,13 @@ def test_columns_are_priced():
     assert sum(times for _, times in packing.plan(counts, gap=0.0)) == 90
 
 
-def test_a_singular_base_keeps_the_last_sound_patterns(monkeypatch):
+@pytest.mark.parametrize("fails", [{2}, {2, 4}])
+def test_a_singular_base_does_not_stop_the_plan(monkeypatch, fails):
     rng, inverse, calls = random.Random(4), np.linalg.inv, []
 
     def once(matrix):
         calls.append(1)
-        if len(calls) > 1:
+        if len(calls) in fails:
             raise np.linalg.LinAlgError("Singular matrix")
         return inverse(matrix)
 
@@ -232,7 +233,7 @@ def test_a_singular_base_keeps_the_last_sound_patterns(monkeypatch):
         assert times > 0 and sum(k * v for k, v in pattern.items()) <= packing.SIZE
         for k, v in pattern.items():
             covered[k] = covered.get(k, 0) + v * times
-    assert len(calls) > 1 and covered == counts
+    assert len(calls) >= max(fails) and covered == counts
 
 
 def test_packing(spark):
