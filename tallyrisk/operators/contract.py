@@ -202,6 +202,7 @@ def rapid_fan_out(tx: DataFrame, window_seconds: int = 2 * HOUR, beneficiaries:
         credits, [ACCOUNT, "credited"])
     events = dispersed.select(ACCOUNT, F.col("credited").alias(TS), F.lit(1).cast("bigint").alias("hit")).unionByName(
         tx.select(ACCOUNT, TS).distinct().withColumn("hit", F.lit(0).cast("bigint")))
+    events = materialize(events, "dispersals")  # the sums read it several times
     hits = rolling_sums(events, ACCOUNT, TS, {"hit": F.col("hit")}, {"w": window_seconds})
     return hits.select(ACCOUNT, TS, (F.col("hit_w") > 0).alias("rapid_fan_out_flag"))
 
