@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
 
 from .. import schema
 from ..functions.scalars import at_least, clip, seconds_between, sha_hex, stable_int
+from .short_ids import packed, unpacked
 from .skew import heavy_keys
 from .timeline import KEY_LIMIT, KEY_ROWS, by_size
 
@@ -34,12 +35,13 @@ def with_graph_ids(tx: DataFrame, rows: int | None = None) -> DataFrame:
     return tx.withColumns({"ip_node_id": ip, "merchant_node_id": merchant})
 
 
-def _keyed(tx: DataFrame, *keys: str) -> DataFrame:
+def _keyed(tx: DataFrame, *keys: str, also: Sequence[str] = ()) -> GroupedData:
+    """Rows that have all keys, by key. Keys, and other ids, are `packed`: unpack the keys of the result."""
     present = [F.col(k).isNotNull() for k in keys]
     kept = tx
     for p in present:
         kept = kept.where(p)
-    return kept.groupBy(*keys)
+    return packed(kept, *keys, *also).groupBy(*keys)
 
 
 def _mode(column: str) -> Column:
@@ -139,13 +141,13 @@ def _latest(tx: DataFrame) -> DataFrame:
 
 
 def device_nodes(tx: DataFrame) -> DataFrame:
-    devices = _keyed(tx, "device_fingerprint_hash").agg(
+    devices = _keyed(tx, "device_fingerprint_hash", also=["account_id_hash"]).agg(
         F.min("transaction_dt").alias("_first"),
         F.count_distinct("account_id_hash").alias("associated_account_count"),
         F.avg("behavioural_drift_score").alias("_risk"),
         F.max(F.col("is_tor_vpn_proxy").cast("int")).alias("has_root_jailbreak"))
     days = F.floor(at_least(seconds_between(F.col("_now"), F.col("_first")) / 86400, 0.0)).cast("int")
-    return devices.crossJoin(_latest(tx)).select(
+    return unpacked(devices, tx, "device_fingerprint_hash").crossJoin(_latest(tx)).select(
         F.col("device_fingerprint_hash").alias("node_id"), days.alias("first_seen_days_ago"),
         "associated_account_count", stable_int(F.col("device_fingerprint_hash"), 4).cast("int").alias("platform"),
         clip(F.col("_risk"), 0.0, 1.0).alias("device_risk_score"), "has_root_jailbreak")
@@ -153,12 +155,12 @@ def device_nodes(tx: DataFrame) -> DataFrame:
 
 def ip_nodes(tx: DataFrame) -> DataFrame:
     proxy = F.max(F.col("is_tor_vpn_proxy").cast("int"))
-    return _keyed(tx, "ip_node_id").agg(
+    ips = _keyed(tx, "ip_node_id", also=["account_id_hash"]).agg(
         clip(F.avg("ip_reputation_score"), 0.0, 1.0).alias("reputation_score"),
         proxy.alias("is_tor"), proxy.alias("is_vpn"), proxy.alias("is_proxy"),
         clip(F.avg(F.col("geo_country_mismatch").cast("double")), 0.0, 1.0).alias("country_risk_score"),
-        F.count_distinct("account_id_hash").alias("associated_account_count"),
-    ).withColumnRenamed("ip_node_id", "node_id")
+        F.count_distinct("account_id_hash").alias("associated_account_count"))
+    return unpacked(ips, tx, "ip_node_id").withColumnRenamed("ip_node_id", "node_id")
 
 
 def merchant_nodes(tx: DataFrame) -> DataFrame:
@@ -187,12 +189,13 @@ def _hours_ago(last: str) -> Column:
 
 def transfer_edges(tx: DataFrame) -> DataFrame:
     """Account to beneficiary. The window names are historic: the whole input counts."""
-    pairs = _keyed(tx, "account_id_hash", "beneficiary_id_hash").agg(
+    ends = ["account_id_hash", "beneficiary_id_hash"]
+    pairs = _keyed(tx, *ends).agg(
         F.count("transaction_id").alias("transaction_count_30d"), F.sum("amount_inr").alias("_sum"),
         F.min("transaction_dt").alias("_first"), F.max("transaction_dt").alias("_last"),
         F.avg("amount_inr").alias("_avg"), F.avg(_number("label_is_fraud")).alias("edge_risk_score"))
-    return pairs.crossJoin(_latest(tx)).select(
-        *_ends("account_id_hash", "beneficiary_id_hash"), "transaction_count_30d",
+    return unpacked(pairs, tx, *ends).crossJoin(_latest(tx)).select(
+        *_ends(*ends), "transaction_count_30d",
         F.log1p("_sum").alias("total_amount_30d_log"),
         at_least(seconds_between(F.col("_now"), F.col("_first")) / 86400, 0.0).alias("first_transaction_days_ago"),
         _hours_ago("_last").alias("last_transaction_hours_ago"),
@@ -224,18 +227,20 @@ def device_edges(tx: DataFrame) -> DataFrame:
 
 
 def ip_edges(tx: DataFrame) -> DataFrame:
-    pairs = _keyed(tx, "account_id_hash", "ip_node_id").agg(
+    ends = ["account_id_hash", "ip_node_id"]
+    pairs = _keyed(tx, *ends).agg(
         F.count("transaction_id").alias("session_count_7d"), F.max("transaction_dt").alias("_last"))
-    return pairs.crossJoin(_latest(tx)).select(
-        *_ends("account_id_hash", "ip_node_id"), "session_count_7d",
+    return unpacked(pairs, tx, *ends).crossJoin(_latest(tx)).select(
+        *_ends(*ends), "session_count_7d",
         _hours_ago("_last").alias("last_session_hours_ago"))
 
 
 def merchant_edges(tx: DataFrame) -> DataFrame:
-    pairs = _keyed(tx, "account_id_hash", "merchant_node_id").agg(
+    ends = ["account_id_hash", "merchant_node_id"]
+    pairs = _keyed(tx, *ends).agg(
         F.count("transaction_id").alias("transaction_count_90d"), F.sum("amount_inr").alias("_sum"))
-    return pairs.select(
-        *_ends("account_id_hash", "merchant_node_id"), "transaction_count_90d",
+    return unpacked(pairs, tx, *ends).select(
+        *_ends(*ends), "transaction_count_90d",
         F.log1p("_sum").alias("total_amount_90d_log"),
         (F.col("transaction_count_90d") == 1).cast("int").alias("is_first_transaction"))
 

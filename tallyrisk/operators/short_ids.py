@@ -1,8 +1,8 @@
-"""Numbers in place of ids, for rows that are shuffled or stored on the way to a result."""
+"""Numbers or short bytes in place of ids, for rows that are shuffled or stored on the way to a result."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 TRIALS = 5
 
@@ -27,7 +27,7 @@ def hashed(name: str, seed: int | None) -> Column:
 def distinct_ids(df: DataFrame, *columns: str) -> DataFrame:
     """node_id: every id in the columns once, without NULL."""
     each = df.select(F.explode(F.array(*columns)).alias("node_id")).where(F.col("node_id").isNotNull())
-    return each.distinct()
+    return unpacked(packed(each, "node_id").distinct(), each, "node_id")
 
 
 def shortened(df: DataFrame, seed: int | None, *columns: str) -> DataFrame:
@@ -42,3 +42,30 @@ def restored(df: DataFrame, ids: DataFrame, seed: int | None, *columns: str) ->
         known = ids.select(hashed("node_id", seed).alias(c), F.col("node_id").alias(f"_{c}"))
         df = df.join(known, c, "left").withColumn(c, F.col(f"_{c}")).drop(f"_{c}")
     return df
+
+
+HASH_BYTES = 32  # of a SHA-256
+
+
+def _texts(df: DataFrame, columns: tuple[str, ...]) -> list[str]:
+    return [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+
+
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """The text columns among these as bytes, half as long where they hold a SHA-256 in hex digits. Nothing is
+    lost: only such a text takes 32 bytes, other texts stay as they are and get one byte more from 32 bytes on."""
+    def short(c):
+        text, size = F.col(c), F.octet_length(c)
+        plain = text.cast("binary")
+        return F.when((size == 2 * HASH_BYTES) & text.rlike("^[0-9a-f]{64}$"), F.unhex(text)).when(
+            size < HASH_BYTES, plain).otherwise(F.concat(plain, F.lit(b"\0")))
+    return df.withColumns({c: short(c) for c in _texts(df, columns)})
+
+
+def unpacked(df: DataFrame, original: DataFrame, *columns: str) -> DataFrame:
+    """The texts back in place of the bytes of `packed`. `original` has the columns as they were."""
+    def text(c):
+        size = F.octet_length(c)
+        return F.when(size == HASH_BYTES, F.lower(F.hex(c))).when(size < HASH_BYTES, F.col(c).cast("string")).otherwise(
+            F.substring(F.col(c), F.lit(1), size - 1).cast("string"))
+    return df.withColumns({c: text(c) for c in _texts(original, columns)})
