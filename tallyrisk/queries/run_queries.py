@@ -212,7 +212,9 @@ def _json_documents(spark, sf_dir):
     "max(epoch_us(transaction_dt)) as latest from tx", "label_is_fraud", "amount_inr", "transaction_dt"))
 def _csv(spark, sf_dir):
     path = fresh_path(spark, "csv")
-    tx(spark, sf_dir).write.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX").csv(path)
+    # files in gzip are read by one task each: none holds more rows than one task should
+    tx(spark, sf_dir).write.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX").option(
+        "compression", "gzip").option("maxRecordsPerFile", 500_000).csv(path)
     df = files.read_transactions(spark, path, "csv")
     return tidy(df.agg(F.count(F.lit(1)).alias("rows"), F.sum("label_is_fraud").alias("frauds"),
                        F.avg("amount_inr").alias("mean_amount"), F.max("transaction_dt").alias("latest")), 4)
