@@ -173,8 +173,9 @@ def contributions(spark, sf_dir):
     return explain.linear_contributions(filled, schema.FEATURES, WEIGHTS, MEANS, ["transaction_id"])
 
 
-def ranked(spark, sf_dir, **options):
-    return explain.rank_contributions(explain.describe_contributions(contributions(spark, sf_dir)), **options)
+def ranked(spark, sf_dir, three_way=True, **options):
+    described = explain.describe_contributions(contributions(spark, sf_dir), three_way, schema.FEATURES)
+    return explain.rank_contributions(described, names=schema.FEATURES, **options)
 
 
 _F = feature_sql().replace("round(cast(", "coalesce(cast(").replace(" as double) + 1e-10, 6)", " as double), 0e0)")
@@ -223,8 +224,7 @@ def _graph(spark, sf_dir):
 @query("explain_top8_legacy", _long_sql("true", "absolute_contribution desc", 8).replace(
     "contribution, direction", "contribution, case when contribution > 0 then 'increases_risk' else 'decreases_risk' end as direction"))
 def _top8(spark, sf_dir):
-    described = explain.describe_contributions(contributions(spark, sf_dir), three_way=False)
-    rows = explain.long_form(explain.rank_contributions(described, k=8), "top_contributors", ["transaction_id"])
+    rows = explain.long_form(ranked(spark, sf_dir, three_way=False, k=8), "top_contributors", ["transaction_id"])
     return tidy(rows.drop("absolute_contribution", "contribution_percentage"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyrisk import schema
-from tallyrisk.functions.scalars import half_even, stable_int
+from tallyrisk.functions.scalars import half_even, quick_round, stable_int
 from tallyrisk.operators import (contract, explain, features, graph, inject, metrics, positions, propagate,
                                  quality, skew, textdata, timeline)
 from tallyrisk.sources import files, sample_view
@@ -283,6 +283,37 @@ def test_contributions_all_zero_and_order(spark):
     assert top.top_contributors[0].contribution_percentage == 50.0
 
 
+def test_written_out_contributions_equal_the_general_form(spark):
+    """Ties, zeros, missing numbers and a row without a reducing factor, with and without the names of the features."""
+    names = ["x", "shared_device_accounts_log", "z", "mule_network_probability"]
+    df = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0), (2, 1.0, -1.0, 1.0, 5e-7), (3, 0.1234565, 2.5e-6, -7.7e9, 1e-7),
+                                (4, None, 2.0, -3.0, 1.0), (5, float("nan"), 1.0, 2.0, 3.0)],
+                               "id int, x double, shared_device_accounts_log double, z double, mule_network_probability double")
+    rows = explain.linear_contributions(df, names, [1, 1, 1, 1], [0, 0, 0, 0], ["id"])
+    for column in ("top_contributors", "top_positive_contributors", "top_negative_contributors", "graph_contributors"):
+        found = [explain.long_form(explain.rank_contributions(explain.describe_contributions(rows, True, known), 3, names=known),
+                                   column, ["id"]).orderBy("id", "rank").collect() for known in (None, names)]
+        assert repr(found[0]) == repr(found[1]) and found[0]
+
+
+def test_long_form_ranks_once(spark):
+    """The lists are not worked out again in a filter for their size."""
+    names = ["x", "y"]
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "id int, x double, y double")
+    rows = explain.describe_contributions(explain.linear_contributions(df, names, [1, 1], [0, 0], ["id"]), names=names)
+    plan = explain.long_form(explain.rank_contributions(rows, names=names), "top_contributors", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") == 1
+
+
+def test_quick_round_is_exact(spark):
+    values = [0.0, -0.0, 5e-7, 1.5e-6, 2.5e-6, -2.5e-6, 0.1234565, 0.1234575, -1e-9, 1e13, 7.7e9, float("nan"), float("inf"), None] + [
+        (i * 7919 % 100003) / 9973 * (-1) ** i for i in range(400)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits, exact in ((6, F.bround), (2, F.bround), (1, F.round), (6, F.round)):
+        out = df.select(quick_round(F.col("v"), digits, exact).alias("a"), exact("v", digits).alias("b")).collect()
+        assert [repr(r.a) for r in out] == [repr(r.b) for r in out]
+
+
 def test_wide_and_narrow_layers_agree(spark, monkeypatch):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("b", -1.0, 0.5), ("c", None, 1.0), ("d", float("nan"), 1.0)], "node_id string, x double, y double")
     weights, bias = [[1.0, 2.0], [0.5, -1.0]], [0.1, 0.2]
