@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
 
 from .. import schema
 from ..functions.scalars import at_least, clip, seconds_between, sha_hex, stable_int
+from ..session import materialize
 from .short_ids import packed, unpacked
-from .skew import heavy_keys
-from .timeline import KEY_LIMIT, KEY_ROWS, by_size
+from .timeline import KEY_ROWS, by_size, parted  # noqa: F401
 
 # ---- Fixed values: the limits that `shared_entity_edges` takes on request ----
 MAX_SHARED_EDGES = 250_000
@@ -65,9 +65,10 @@ def _per_account(tx: DataFrame, key: str, columns: list[Column], names: Sequence
     rows = tx.where(F.col(key).isNotNull()).select(
         F.col(key).alias("node_id"), F.col("transaction_id").isNotNull().alias("_has"),
         *[c for c in dict.fromkeys([*_SEEN, *names]) if c != "transaction_id"])
-    rows = rows.withColumn("transaction_id", F.when(F.col("_has"), F.lit(1))).drop("_has")
     ordinary, heavy = by_size(rows, "node_id")
-    return ordinary.groupBy("node_id").agg(*columns).unionByName(heavy.groupBy("node_id").agg(*columns))
+    parts = [part.withColumn("transaction_id", F.when(F.col("_has"), F.lit(1))).groupBy("node_id").agg(*columns)
+             for part in (ordinary, heavy) if part is not None]
+    return unpacked(parts[0] if heavy is None else parts[0].unionByName(parts[1]), rows, "node_id")
 
 
 def account_roles(tx: DataFrame) -> DataFrame:
@@ -137,7 +138,8 @@ def account_nodes(tx: DataFrame) -> DataFrame:
 
 
 def _latest(tx: DataFrame) -> DataFrame:
-    return F.broadcast(tx.agg(F.max("transaction_dt").alias("_now")))  # one row
+    """One row, found right away: rows that are read from a long plan are not shuffled twice in one job."""
+    return F.broadcast(materialize(tx.agg(F.max("transaction_dt").alias("_now")), "latest"))
 
 
 def device_nodes(tx: DataFrame) -> DataFrame:
@@ -214,15 +216,19 @@ def device_edges(tx: DataFrame) -> DataFrame:
     rows = tx.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(
         src, dst, F.col("transaction_id").isNotNull().alias("_has"), "transaction_dt")
     sums = [F.count_if("_has").alias("session_count_30d"), F.max("transaction_dt").alias("_last")]
-    ordinary, heavy = (part.groupBy(src, dst).agg(*sums) for part in by_size(rows, src))
+    ordinary, heavy = by_size(rows, src, dst)
+    # ties go by the text of an id, not by its bytes
+    ranked = unpacked(ordinary.groupBy(src, dst).agg(*sums), rows, dst)
     order = Window.partitionBy(src).orderBy(F.desc("session_count_30d"), dst)
-    ranked = ordinary.withColumn("is_primary_device", (F.row_number().over(order) == 1).cast("int"))
-    best = heavy.groupBy(src).agg(
-        F.min(F.struct((-F.col("session_count_30d")).alias("n"), F.col(dst).alias("d"))).alias("b")
-    ).select(src, F.col("b.d").alias(dst), F.lit(1).alias("_primary"))
-    marked = heavy.join(best, [src, dst], "left").withColumn(
-        "is_primary_device", F.coalesce("_primary", F.lit(0))).drop("_primary")
-    return ranked.unionByName(marked).crossJoin(_latest(tx)).select(
+    edges = unpacked(ranked.withColumn("is_primary_device", (F.row_number().over(order) == 1).cast("int")), rows, src)
+    if heavy is not None:
+        far = unpacked(heavy.groupBy(src, dst).agg(*sums), rows, src, dst)
+        best = far.groupBy(src).agg(
+            F.min(F.struct((-F.col("session_count_30d")).alias("n"), F.col(dst).alias("d"))).alias("b")
+        ).select(src, F.col("b.d").alias(dst), F.lit(1).alias("_primary"))
+        edges = edges.unionByName(far.join(best, [src, dst], "left").withColumn(
+            "is_primary_device", F.coalesce("_primary", F.lit(0))).drop("_primary"))
+    return edges.crossJoin(_latest(tx)).select(
         *_ends(src, dst), "session_count_30d", _hours_ago("_last").alias("last_session_hours_ago"), "is_primary_device")
 
 
@@ -253,21 +259,25 @@ def entity_chain(edges: DataFrame, relation: str, cap: int | None = None, length
     of a tile is followed by the first one of the next. With `length` only the first accounts of an
     entity take part, with `cap` only the first pairs in entity order; both are off by default.
     """
-    ends = edges.select(F.col("src_node_id").alias("_a"), F.col("dst_node_id").alias("_e")).distinct()
+    pairs = edges.select(F.col("src_node_id").alias("_a"), F.col("dst_node_id").alias("_e"))
+    ends = packed(pairs, "_a", "_e")
     per_entity = Window.partitionBy("_e").orderBy("_a")
     following = F.lead("_a").over(per_entity)
     if length is not None:
         # the rank filter runs per map task first, so a hub sends at most `length` accounts from each
+        ends = unpacked(ends.distinct(), pairs, "_a")
         ends = ends.withColumn("_rank", F.row_number().over(per_entity)).where(F.col("_rank") <= length).drop("_rank")
-        pairs = ends.withColumn("_next", following)
+        chain = ends.withColumn("_next", following)
     else:
-        hubs = F.broadcast(heavy_keys(ends, ["_e"], KEY_ROWS, KEY_LIMIT).select("_e"))
-        pairs = ends.join(hubs, "_e", "left_anti").withColumn("_next", following).select("_a", "_e", "_next")
-        pairs = pairs.unionByName(_tiled_chain(ends.join(hubs, "_e", "left_semi")))
-    pairs = pairs.where(F.col("_next").isNotNull()).select(
+        # the order is that of the texts, made where the accounts of an entity lie
+        ordinary, hubs = parted(ends, ["_e"])
+        chain = unpacked(ordinary.repartition("_e").distinct(), pairs, "_a").withColumn("_next", following).select("_a", "_e", "_next")
+        if hubs is not None:
+            chain = chain.unionByName(_tiled_chain(unpacked(hubs.distinct(), pairs, "_a")))
+    chain = unpacked(chain.where(F.col("_next").isNotNull()), pairs, "_e").select(
         F.col("_a").alias("src_node_id"), F.col("_next").alias("dst_node_id"), F.lit(relation).alias("relation"),
         F.col("_e").alias("shared_entity_id"))
-    return pairs if cap is None else pairs.orderBy("shared_entity_id", "src_node_id").limit(cap)
+    return chain if cap is None else chain.orderBy("shared_entity_id", "src_node_id").limit(cap)
 
 
 def _tiled_chain(ends: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators import graph, positions, propagate, short_ids
-from ..session import materialize
+from ..session import discard, materialize
 from .base import NUDGE, query, round_sql, rounded, tidy, tx
 from .graph_queries import _ACCOUNT_NAMES, _ACCOUNT_SQL, account_tx, derived_sql, graph_tx, with_graph
 
@@ -50,7 +50,9 @@ def parts(spark, sf_dir):
     ends = ["src_node_id", "dst_node_id"]
     transfers = materialize(short_ids.shortened(graph.transfer_edges(df).select(*ends), seed, *ends), "transfers")
     derived = materialize(short_ids.shortened(derived.select(*ends), seed, *ends), "derived")
+    discard(df)
     messages = materialize(propagate.message_edges(nodes, transfers, derived), "messages")
+    discard(transfers, derived)
     return nodes, messages, lambda out, *names: short_ids.restored(out, ids, seed, *names)
 
 
